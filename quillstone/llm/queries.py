@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import neighbours
+from quillstone.llm import boilerplate, neighbours, split, visual
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +26,95 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("chunk_id"), "neighbour", "rank", "cosine")
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 2's texts: Element.text and the text in chunk_json."""
+    e = _t(spark, sf_dir, "elements").select(F.lit("element").alias("item_kind"), F.col("element_id").alias("item_id"), "text")
+    c = _t(spark, sf_dir, "chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), split.json_text("chunk_json").alias("text"))
+    return e.unionByName(c)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that had to be split."""
+    cut = split.split_oversized(_items(spark, sf_dir), ["item_kind", "item_id"], dedupe=False)
+    return cut.where("n_pieces > 1").select("item_kind", "item_id").distinct()
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every item."""
+    return split.split_oversized(_items(spark, sf_dir), ["item_kind", "item_id"])
+
+
+P2_FOUND = """
+select 'element' as item_kind, element_id as item_id from elements where length(text) > 2000
+union
+select 'chunk', chunk_id from chunks where json_valid(chunk_json) and length(json_extract_string(chunk_json, '$.text')) > 2000
+"""
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a line repeated on five pages or more of its document."""
+    return boilerplate.repeated_lines(_t(spark, sf_dir, "elements"))[0].select("element_id", "line_no")
+
+
+def p3_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All elements without the repeated lines."""
+    e = _t(spark, sf_dir, "elements")
+    found, _ = boilerplate.repeated_lines(e)
+    return boilerplate.without_lines(e.dropDuplicates(["element_id"]).select("element_id", "document_id", "text"), found, ["element_id"])
+
+
+def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages without the repeated lines."""
+    pages = _t(spark, sf_dir, "parsed_pages").dropDuplicates(["document_id", "page"]).select("document_id", "page", "text")
+    _, blocks = boilerplate.repeated_lines(_t(spark, sf_dir, "elements"))
+    return boilerplate.without_lines(pages, boilerplate.page_lines(pages, blocks), ["document_id", "page"])
+
+
+def p3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boilerplate blocks: their lines and pages."""
+    return boilerplate.repeated_lines(_t(spark, sf_dir, "elements"))[1].groupBy("document_id", "block").agg(F.count("*").alias("n_lines"), F.max("support").alias("most_pages"))
+
+
+def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every element and cell with its text in one consistent form."""
+    e = _t(spark, sf_dir, "elements").select(F.lit("element").alias("item_kind"), F.col("element_id").alias("item_id"), "text")
+    c = _t(spark, sf_dir, "cells").select(F.lit("cell").alias("item_kind"), F.col("cell_id").alias("item_id"), "text")
+    return visual.one_form(e.unionByName(c), ["item_kind", "item_id"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements and cells whose text holds a variant."""
+    return p5_forms(spark, sf_dir).where("has_variant").select("item_kind", "item_id")
+
+
+P5_FOUND = r"""
+with t as (select 'element' as item_kind, element_id as item_id, text from elements union select 'cell', cell_id, text from cells)
+select item_kind, item_id from t
+where regexp_matches(text, '[\x{FF01}-\x{FF5E}\x{2011}\x{132}\x{133}\x{1C4}-\x{1CC}\x{1F1}-\x{1F3}\x{FB00}-\x{FB06}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]|\p{Cf}')
+   or regexp_matches(text, '\p{Latin}[\p{L}\p{M}]*[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}][\p{L}\p{M}]*\p{Latin}')
+   or (regexp_matches(text, '\p{L}\p{M}') and length(nfc_normalize(text)) < length(text))
+"""
+
+
+P3_FOUND = r"""
+with e as (select distinct element_id, document_id, source.page as page, text from elements where source.page is not null and text is not null),
+l as (select element_id, document_id, page, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from e),
+k as (select element_id, document_id, page, line_no,
+             trim(regexp_replace(regexp_replace(lower(upper(line)), '[\s\x{85}\p{Z}\v]+', ' ', 'g'), '\p{Nd}+', '0', 'g')) as k
+      from l where length(regexp_replace(line, '\P{L}+', '', 'g')) >= 12),
+n as (select document_id, k from k group by all having count(distinct page) >= 5)
+select distinct element_id, cast(line_no as integer) as line_no from k join n using (document_id, k)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours}
+    return {
+        "p1_found": p1_found, "p1_neighbours": p1_neighbours,
+        "p2_found": p2_found, "p2_pieces": p2_pieces,
+        "p3_found": p3_found, "p3_elements": p3_elements, "p3_pages": p3_pages, "p3_blocks": p3_blocks,
+        "p5_found": p5_found, "p5_forms": p5_forms,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p5_found": P5_FOUND}
