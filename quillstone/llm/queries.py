@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import boilerplate, neighbours, split, visual
+from quillstone.llm import boilerplate, encoding, neighbours, split, visual
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_forms(spark, sf_dir).where("has_variant").select("item_kind", "item_id")
 
 
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text as originally written, as far as possible."""
+    return encoding.restore(_t(spark, sf_dir, "documents")).select("doc_id", "restored", "garbled", "lost", "chains")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a wrongly decoded passage."""
+    return encoding.restore(_t(spark, sf_dir, "documents")).where("garbled").select("doc_id").distinct()
+
+
 P5_FOUND = r"""
 with t as (select 'element' as item_kind, element_id as item_id, text from elements union select 'cell', cell_id, text from cells)
 select item_kind, item_id from t
@@ -113,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found, "p2_pieces": p2_pieces,
         "p3_found": p3_found, "p3_elements": p3_elements, "p3_pages": p3_pages, "p3_blocks": p3_blocks,
         "p5_found": p5_found, "p5_forms": p5_forms,
+        "p8_found": p8_found, "p8_restored": p8_restored,
     }
 
 
