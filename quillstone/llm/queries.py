@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import boilerplate, encoding, neighbours, split, visual
+from quillstone.llm import boilerplate, encoding, mixing, neighbours, packing, split, visual
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_forms(spark, sf_dir).where("has_variant").select("item_kind", "item_id")
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in containers of 1,024 tokens."""
+    return packing.fill_containers(_t(spark, sf_dir, "documents"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents with their repeat counts, each with its source's target and actual share."""
+    chosen, shares = mixing.draw_mix(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_targets"))
+    return chosen.join(F.broadcast(shares.select("source", "target_share", "actual_share")), "source")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's target and actual share."""
+    return mixing.draw_mix(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_targets"))[1]
+
+
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text as originally written, as far as possible."""
     return encoding.restore(_t(spark, sf_dir, "documents")).select("doc_id", "restored", "garbled", "lost", "chains")
@@ -123,6 +139,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found, "p2_pieces": p2_pieces,
         "p3_found": p3_found, "p3_elements": p3_elements, "p3_pages": p3_pages, "p3_blocks": p3_blocks,
         "p5_found": p5_found, "p5_forms": p5_forms,
+        "p6_containers": p6_containers,
+        "p7_mix": p7_mix, "p7_shares": p7_shares,
         "p8_found": p8_found, "p8_restored": p8_restored,
     }
 
