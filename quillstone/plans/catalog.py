@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import quantities
+from quillstone.plans import quantities, retrieval_queries
 
-_MODULES = [quantities]
+_MODULES = [retrieval_queries, quantities]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
