@@ -35,7 +35,7 @@ c as (select chunk_id, position_no, document_id, page, token_count, embedding,
              case when json_valid(chunk_json) then json_extract_string(chunk_json, '$.text') end as text
       from (select distinct on (chunk_id) * from chunks)),
 q as (select chunk_id as query_id, coalesce(title, '') as question, embedding as qvec from c where position_no % 20 = 0),
-ok as (select *, list_transform(embedding, x -> cast(x as double)) as v from c where embedding is not null and len(list_filter(embedding, x -> x <> 0)) > 0),
+ok as (select *, list_transform(embedding, lambda x: cast(x as double)) as v from c where embedding is not null and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 qok as (select query_id, v as qv from q join ok on query_id = chunk_id)"""
 
 DENSE_SCORES = CORPUS + r""",

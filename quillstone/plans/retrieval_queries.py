@@ -56,12 +56,17 @@ def label_knn_hit(s: SparkSession, d: str) -> DataFrame:
     top = R.dense_topk(q, c.select("chunk_id", "embedding"), 10, exclude=me)
     lab = c.select("chunk_id", "label")
     j = top.join(lab, "chunk_id").join(lab.select(F.col("chunk_id").alias("query_id"), F.col("label").alias("own")), "query_id")
-    return j.groupBy("query_id").agg(F.count(F.when(F.col("label") == F.col("own"), 1)).alias("same"), F.min(F.when(F.col("label") == F.col("own"), F.col("rank"))).alias("first_rank"))
+    return j.groupBy("query_id").agg(F.count(F.when(F.col("label") == F.col("own"), 1)).alias("same"), F.coalesce(F.min(F.when(F.col("label") == F.col("own"), F.col("rank"))), F.lit(0)).alias("first_rank"))
+
+
+def _ranks(df: DataFrame) -> DataFrame:
+    """A list a chunk isn't in shows as rank 0 in the catalogue's results."""
+    return df.na.fill(0, ["dense_rank", "bm25_rank"])
 
 
 def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
     q, c = questions(s, d), corpus(s, d)
-    return R.rrf(R.dense_topk(q, c), R.bm25_topk(q, c))
+    return _ranks(R.rrf(R.dense_topk(q, c), R.bm25_topk(q, c)))
 
 
 def candidate_union(s: SparkSession, d: str) -> DataFrame:
@@ -84,7 +89,7 @@ def threshold_select(s: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_retrieve(s: SparkSession, d: str) -> DataFrame:
-    return R.Retriever(corpus(s, d), top_k=7, threshold=0.1).retrieve(questions(s, d)).select("query_id", "chunk_id", "rrf_score", "dense_rank", "bm25_rank", "rerank_score", "rank")
+    return _ranks(R.Retriever(corpus(s, d), top_k=7, threshold=0.1).retrieve(questions(s, d))).select("query_id", "chunk_id", "rrf_score", "dense_rank", "bm25_rank", "rerank_score", "rank")
 
 
 def compare_methods(s: SparkSession, d: str) -> DataFrame:
@@ -193,17 +198,17 @@ SQL = {
     "bm25_topk": f"with {CORPUS}{BM25_SCORES} select query_id, chunk_id, score, {_int('rank', 'rank')} from b",
     "dense_topk": f"with {DENSE_SCORES} select query_id, chunk_id, score, {_int('rank', 'rank')} from d",
     "dense_topk_excluding": f"with {DENSE_SCORES}, x as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as n from ds) where n between 6 and 10) select query_id, chunk_id, score, {_int('n - 5', 'rank')} from x",
-    "vector_validity": f"with {CORPUS} select chunk_id, chunk_id in (select chunk_id from ok) as usable, coalesce(abs(sqrt(list_inner_product(list_transform(embedding, x -> cast(x as double)), list_transform(embedding, x -> cast(x as double)))) - 1) <= 1e-4, false) as unit from c",
+    "vector_validity": f"with {CORPUS} select chunk_id, chunk_id in (select chunk_id from ok) as usable, coalesce(abs(sqrt(list_inner_product(list_transform(embedding, lambda x: cast(x as double)), list_transform(embedding, lambda x: cast(x as double)))) - 1) <= 1e-4, false) as unit from c",
     "label_knn_hit": r"""
-with e as (select vec_id, label, list_transform(embedding, x -> cast(x as double)) as v from embeddings),
+with e as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
 s as (select a.vec_id as query_id, a.label as own, b.label, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.v, b.v), 6) desc, b.vec_id) as rank
       from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)
-select query_id, count(*) filter (label = own) as same, cast(min(rank) filter (label = own) as integer) as first_rank from s where rank <= 10 group by query_id""",
-    "rrf_fusion": f"with {DENSE_SCORES}{BM25_SCORES}{RRF} select query_id, chunk_id, rrf_score, {_int('dense_rank', 'dense_rank')}, {_int('bm25_rank', 'bm25_rank')}, {_int('rank', 'rank')} from f",
+select query_id, count(*) filter (label = own) as same, cast(coalesce(min(rank) filter (label = own), 0) as integer) as first_rank from s where rank <= 10 group by query_id""",
+    "rrf_fusion": f"with {DENSE_SCORES}{BM25_SCORES}{RRF} select query_id, chunk_id, rrf_score, {_int('coalesce(dense_rank, 0)', 'dense_rank')}, {_int('coalesce(bm25_rank, 0)', 'bm25_rank')}, {_int('rank', 'rank')} from f",
     "candidate_union": f"with {DENSE_SCORES}{BM25_SCORES} select query_id, chunk_id, cast(min(ord) as integer) as ord from (select query_id, chunk_id, rank as ord from d union all select query_id, chunk_id, rank + 20 from b) group by all",
     "rerank_topk": f"with {_ALL} select query_id, chunk_id, rerank_score, {_int('fused_rank', 'fused_rank')}, {_int('rank', 'rank')} from r where rank <= 5",
     "threshold_select": f"with {_ALL} select query_id, chunk_id, rerank_score, {_int('rank', 'rank')} from r where rank <= 5 and rerank_score >= 0.5",
-    "hybrid_retrieve": f"with {_ALL} select r.query_id, r.chunk_id, rrf_score, {_int('dense_rank', 'dense_rank')}, {_int('bm25_rank', 'bm25_rank')}, rerank_score, {_int('r.rank', 'rank')} from r join f on r.query_id = f.query_id and r.chunk_id = f.chunk_id where r.rank <= 7 and rerank_score >= 0.1",
+    "hybrid_retrieve": f"with {_ALL} select r.query_id, r.chunk_id, rrf_score, {_int('coalesce(dense_rank, 0)', 'dense_rank')}, {_int('coalesce(bm25_rank, 0)', 'bm25_rank')}, rerank_score, {_int('r.rank', 'rank')} from r join f on r.query_id = f.query_id and r.chunk_id = f.chunk_id where r.rank <= 7 and rerank_score >= 0.1",
     "compare_methods": f"""with {_ALL}
 select query_id, 'dense' as stage, {_int("rank", "rank")}, chunk_id, score from d union all select query_id, 'bm25', cast(rank as integer), chunk_id, score from b
 union all select query_id, 'fused', cast(rank as integer), chunk_id, rrf_score from f union all select query_id, 'reranked', cast(rank as integer), chunk_id, rerank_score from r""",
