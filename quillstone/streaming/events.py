@@ -32,45 +32,55 @@ def fold_answers(events: DataFrame) -> DataFrame:
 
 
 def stream_answers(events: DataFrame, idle: str = "1 hour") -> DataFrame:
-    """The same fold as a stateful stream: a row per request and batch; state ends with ``done`` or after ``idle``.
+    """The same fold as a stateful stream: (request_id, answer, done), a row per request and batch.
 
-    Out-of-order deltas within a request wait in state until read in order.
+    ``events`` carries a watermark on ts and each (request_id, seq) once (see
+    ``distinct_events``); a request's seq runs from 1 without gaps.  An answer is
+    done when its ``done`` event and all before it are there, in whatever order
+    they came, or when it is there and the watermark is ``idle`` past the
+    request's last event; then its state ends.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    state = "text string, reset bigint, seqs array<bigint>, texts array<string>, done int"
+    state = "reset bigint, seqs array<bigint>, texts array<string>, last bigint, n bigint"
     out = "request_id string, answer string, done int"
     ms = {"second": 1_000, "minute": 60_000, "hour": 3_600_000}
-    n, unit = idle.split()
-    wait = int(n) * ms[unit.rstrip("s")]
+    amount, unit = idle.split()
+    wait = int(amount) * ms[unit.rstrip("s")]
+
+    def row(key: tuple, got: dict[int, str], done: bool) -> pd.DataFrame:
+        return pd.DataFrame({"request_id": [key[0]], "answer": ["".join(t for _, t in sorted(got.items()))], "done": [int(done)]})
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
+        reset, seqs, texts, last, n = st.get if st.exists else (-1, [], [], 0, 0)
+        got = dict(zip(seqs, texts))
         if st.hasTimedOut:
             st.remove()
+            if last:
+                yield row(key, got, True)
             return
-        if st.exists:
-            _, reset, seqs, texts, done = st.get
-            got = dict(zip(seqs, texts))
-        else:
-            reset, got, done = -1, {}, 0
+        seen = st.getCurrentWatermarkMs()
         for pdf in batches:
+            at = pdf["ts"].max()
+            seen = max(seen, int(at.timestamp() * 1000)) if at is not pd.NaT else seen
+            n += len(pdf)
             for seq, kind, text in zip(pdf["seq"], pdf["type"], pdf["text"]):
                 if kind == "answer_reset":
                     reset = max(reset, int(seq))
                 elif kind == "answer_delta":
                     got[int(seq)] = text or ""
                 elif kind == "done":
-                    done = 1
+                    last = int(seq)
         got = {s: t for s, t in got.items() if s > reset}
-        answer = "".join(t for _, t in sorted(got.items()))
+        done = 0 < last <= n
         if done:
             st.remove()
         else:
-            st.update((answer, reset, list(got), list(got.values()), done))
-            st.setTimeoutDuration(wait)
-        yield pd.DataFrame({"request_id": [key[0]], "answer": [answer], "done": [done]})
+            st.update((reset, list(got), list(got.values()), last, n))
+            st.setTimeoutTimestamp(seen + wait)
+        yield row(key, got, done)
 
-    return events.groupBy("request_id").applyInPandasWithState(fold, out, state, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("request_id").applyInPandasWithState(fold, out, state, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def tool_arguments(parts: DataFrame) -> DataFrame:
