@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.operators.graph import connected_components
+from quillstone.session import materialize
 
 
 def line_key(line: Column) -> Column:
     """Equal for lines that differ only in case, white space of any kind, or the digits of a run."""
     x = F.lower(F.upper(line))
+    for a, b in (("ß", "ss"), ("ς", "σ")):  # letters whose other case Spark's mapping leaves alone
+        x = F.replace(x, F.lit(a), F.lit(b))
     x = F.regexp_replace(x, r"(?U)\s+", " ")
     x = F.regexp_replace(x, r"\p{Nd}+", "0")
     return F.trim(x)
@@ -61,7 +64,8 @@ def repeated_lines(
     (group, line, page), pre-aggregated before each shuffle.
     """
     page = F.col(page) if isinstance(page, str) else page
-    items = _lines(df, group, page, [item], F.col(order), text, min_letters)
+    # the texts are read once; what follows works on hashes
+    items = materialize(_lines(df, group, page, [item], F.col(order), text, min_letters), "lines")
     here = items.select("g", "page", F.col(f"item_{item}").alias("item"), F.explode("lines").alias("l")).select("g", "page", "item", F.col("l.no").alias("line_no"), F.col("l.h").alias("h"))
     nodes = here.select("g", "h", "page").distinct().groupBy("g", "h").agg(F.count("*").alias("support")).where(F.col("support") >= min_pages)
     # consecutive lines: inside an item, and from an item's last to the next item's first on the same page
