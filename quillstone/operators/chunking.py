@@ -94,8 +94,11 @@ def char_pieces(text: str, most: int, count: Callable[[str], int]) -> list[tuple
     """
     out, at = [], 0
     while at < len(text):
-        lo, hi = at + 1, len(text)
-        if count(text[at:]) <= most:
+        # the bracket doubles from the limit on, so a piece costs its own length, not the text's
+        lo, hi = at + 1, min(len(text), at + 8 * most)
+        while hi < len(text) and count(text[at:hi]) <= most:
+            lo, hi = hi, min(len(text), at + 2 * (hi - at))
+        if hi == len(text) and count(text[at:]) <= most:
             end = len(text)
         else:
             while lo < hi:
@@ -241,34 +244,39 @@ def structured_chunks(elements: DataFrame, rows: DataFrame, max_tokens: int = 30
         .join(rows.where("trim(row_text) <> ''"), ["document_id", "table_id"])
     )
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal", kind="stable")
-        out, table = [], pdf["table_id"].iloc[0]
-        first = pdf.iloc[0]
-        page = None if pd.isna(first["page"]) else int(first["page"])
-        if table is None or pd.isna(table):
+    def chunks_of(u) -> list[tuple]:
+        page = None if pd.isna(u.page) else int(u.page)
+        out = []
+        if u.table_id is None:
             joined, spans = "", []
-            for eid, t in zip(pdf["element_id"], pdf["text"]):
+            for p in u.parts:
                 joined += "\n\n" if joined else ""
-                spans.append((eid, len(joined), len(joined) + len(t)))
-                joined += t
+                spans.append((p["element_id"], len(joined), len(joined) + len(p["text"])))
+                joined += p["text"]
             for a, b in char_pieces(joined, max_tokens, count):
                 if joined[a:b].strip():
                     out.append(("text", joined[a:b], [x for x, s, t in spans if s < b and t > a], None, []))
         else:
-            pre = table_prefix(first["header"] or "", first["years"] or "", first["prefix"] or "", max_tokens, count)
-            room = max_tokens - count(pre)
-            for t in pdf["text"]:
-                for a, b in char_pieces(t, max(1, room), count):
-                    out.append(("table", f"{pre}\n{t[a:b]}" if pre else t[a:b], [first["element_id"]], table, list(first["refs"]) if pre and first["refs"] is not None else []))
-        return pd.DataFrame(
-            [(first["document_id"], i, k, page, x, count(x), ids, tid, refs) for i, (k, x, ids, tid, refs) in enumerate(out)],
-            columns=["document_id", "chunk_no", "kind", "page", "text", "token_count", "element_ids", "table_id", "context_refs"],
-        )
+            pre = table_prefix(u.header or "", u.years or "", u.prefix or "", max_tokens, count)
+            room = max(1, max_tokens - count(pre))
+            for p in u.parts:
+                for a, b in char_pieces(p["text"], room, count):
+                    piece = p["text"][a:b]
+                    out.append(("table", f"{pre}\n{piece}" if pre else piece, [p["element_id"]], u.table_id, list(u.refs) if pre and u.refs is not None else []))
+        return [(u.document_id, i, k, page, x, count(x), ids, tid, refs) for i, (k, x, ids, tid, refs) in enumerate(out)]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["document_id", "chunk_no", "kind", "page", "text", "token_count", "element_ids", "table_id", "context_refs"]
+        for pdf in batches:
+            rows = [r for u in pdf.itertuples(index=False) for r in chunks_of(u)]
+            yield pd.DataFrame(rows, columns=names).astype({"page": "Int32"})
 
     t = tables.select("document_id", "unit", F.col("row_no").alias("ordinal"), "element_id", "page", F.col("row_text").alias("text"), "table_id", F.coalesce("nearby", F.lit("")).alias("prefix"), "refs", "header", "years")
     x = texts.withColumn("header", F.lit("")).withColumn("years", F.lit("")).select(*t.columns)
-    return x.unionByName(t).groupBy("document_id", "unit").applyInPandas(cut, _STRUCTURED)
+    # a unit is one row with its parts in order, so Python sees batches of units instead of a call for each
+    same = [F.max(c).alias(c) for c in ("page", "table_id", "prefix", "refs", "header", "years")]
+    units = x.unionByName(t).groupBy("document_id", "unit").agg(F.sort_array(F.collect_list(F.struct("ordinal", "element_id", "text"))).alias("parts"), *same)
+    return units.mapInPandas(cut, _STRUCTURED)
 
 
 def nearby_context(elements: DataFrame, n: int = 3) -> DataFrame:
