@@ -152,8 +152,9 @@ def fill_containers(df: DataFrame, key: str = "doc_id", text: str = "text", capa
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    src = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null and text <> ''").dropDuplicates(["key"])
-    sized = materialize(with_tokens(src, tokenizer=tokenizer), "sizes")
+    src = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null and text <> ''")
+    # sizes first: repeated keys are dropped among narrow rows, no text is shuffled
+    sized = materialize(with_tokens(src, tokenizer=tokenizer).dropDuplicates(["key"]), "sizes")
     return pack_sizes(sized, "key", "tokens", capacity).withColumnRenamed("key", key)
 
 
