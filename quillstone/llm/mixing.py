@@ -58,8 +58,9 @@ def draw_mix(
     no tokens and aren't drawn; a null share counts as 0, a null max_repeats as 1.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text")).where(F.col("key").isNotNull()).dropDuplicates(["key"])
-    sized = materialize(with_tokens(src, tokenizer=tokenizer).where("tokens > 0").withColumn("h", F.shiftrightunsigned(F.xxhash64(F.col("key"), F.lit("mix")), 64 - BITS)), "mix")
+    src = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text")).where(F.col("key").isNotNull())
+    # sizes first: repeated keys are dropped among narrow rows, no text is shuffled
+    sized = materialize(with_tokens(src, tokenizer=tokenizer).dropDuplicates(["key"]).where("tokens > 0").withColumn("h", F.shiftrightunsigned(F.xxhash64(F.col("key"), F.lit("mix")), 64 - BITS)), "mix")
     goal = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
     wanted = goal.limit(MOST_SOURCES + 1).collect()
     if len(wanted) > MOST_SOURCES:
