@@ -323,11 +323,16 @@ def most_similar(
     dim, n = int(dims[0]["d"]), int(dims[0]["count"])
     reps = reps.where(F.size("vec") == dim)
     share = max(1, -(-n // SAMPLE))
-    sample = [r[0] for r in reps.where(F.pmod("h2", F.lit(share)) == 0).select("vec").limit(2 * SAMPLE).collect()]
-    points = _unit(pd.Series(sample, dtype=object), dim) @ projection(dim) if sample else np.zeros((0, min(M, dim)), "f4")
-    cells = max(1, -(-n // (BLOCK // 2)))
     td = min(TREE_DIMS, dim)
-    tree = _fit_tree(points[:, :td], cells) if len(points) else []
+
+    @F.pandas_udf("binary")
+    def place(vec: pd.Series) -> pd.Series:
+        return pd.Series([p.tobytes() for p in (_unit(vec, dim) @ projection(dim))[:, :td]])
+
+    sample = [r[0] for r in reps.where(F.pmod("h2", F.lit(share)) == 0).select(place("vec")).limit(2 * SAMPLE).collect()]
+    points = np.frombuffer(b"".join(sample), "f4").reshape(-1, td)
+    cells = max(1, -(-n // (BLOCK // 2)))
+    tree = _fit_tree(points, cells) if len(points) else []
 
     @F.pandas_udf("int")
     def cell(vec: pd.Series) -> pd.Series:
@@ -345,9 +350,9 @@ def most_similar(
     los = np.stack([np.frombuffer(r["lo"], "f4").reshape(-1, td).min(0) for r in boxes])
     his = np.stack([np.frombuffer(r["hi"], "f4").reshape(-1, td).max(0) for r in boxes])
     asking = [r["block"] for r in boxes if r["h"] > 0]
-    # a block's queries are further cut so that small collections still use every core
+    # a block's queries are further cut so that few blocks still use every core
     d2_most = 4.0 if min_cosine is None else max(0.0, 2 - 2 * min_cosine)
-    of = min(16, max(1, -(-96 // max(1, len(asking)))))
+    of = max(1, min(16, -(-96 // max(1, len(asking))), -(-n // 2048)))
     todo = spark.createDataFrame([(b, i, of) for b in asking for i in range(of)], "block int, part int, of int").repartitionByRange(max(1, len(asking) * of), "block", "part")
     found = todo.mapInPandas(_search(f"{where}/blocks", dim, k, d2_most, p_stop, [r["block"] for r in boxes], los.tobytes(), his.tobytes()), PAIR_SCHEMA)
     found.write.parquet(f"{where}/found")
