@@ -298,6 +298,32 @@ def test_twice_and_in_places(restorer):
     assert fixed == f"{b}\n{a}" and "|" in chains[0]
 
 
+@pytest.fixture(scope="module")
+def chinese():
+    zh = ["管理层扩大了租赁负债见附注59。", "董事会重新评估了应收账款为期156个月，第5页。", "仓储部门批准了资本支出约百分之350。"]
+    return encoding.Restorer(*encoding.learn({"zh": [f"{i}\n{a}{b}" for i in range(30) for a in zh for b in zh]}))
+
+
+@pytest.mark.parametrize("wrong", ["cp1252", "latin-1"])
+@pytest.mark.parametrize("text", ["管理层扩大了租赁负债见附注59。", "资本支出约百分之350。\n\n", "董事会重新评估了第5页。", "350。"])
+def test_single_gbk_characters(chinese, wrong, text):
+    bad = read_as(text.encode("gbk"), wrong)
+    assert chinese.restore(bad)[0] == text
+    assert chinese.restore(f"{bad}董事会重新评估了应收账款。")[0] == f"{text}董事会重新评估了应收账款。"
+
+
+def test_short_gbk_run_beside_a_long_one(chinese):
+    # the full stop after X is no known pair: it takes the long run's word for it
+    bad = read_as("管理层扩大了租赁负债见附注59。\nABX。\n".encode("gbk"), "cp1252")
+    assert chinese.restore(bad)[0] == "管理层扩大了租赁负债见附注59。\nABX。\n"
+    assert chinese.restore("ABX¡£\n")[0] == "ABX¡£\n"
+
+
+def test_clean_signs_beside_gbk(chinese):
+    bad = read_as("管理层扩大了租赁负债".encode("gbk"), "cp1252")
+    assert chinese.restore(f"Corvash®™ {bad}")[0] == "Corvash®™ 管理层扩大了租赁负债"
+
+
 @pytest.mark.parametrize("text", ["", "plain", *(" ".join(v) for v in CLEAN.values()), "Caf&eacute; &amp; Co", "A DEMONSTRAÇÃO DO RESULTADO"])
 def test_clean_stays(restorer, text):
     assert restorer.restore(text)[0] == text
