@@ -49,52 +49,69 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return where, np.array(free, "i8")
 
 
-def local_search(sizes: np.ndarray, where: np.ndarray, free: np.ndarray, capacity: int, most_tries: int = 200) -> tuple[np.ndarray, np.ndarray]:
+def _best_exchange(sums: np.ndarray, size: np.ndarray, gap: np.ndarray, fill_a: int, capacity: int) -> tuple[int, int, int]:
+    """(tokens that change bins, index in ``sums``, index in ``size``) of the best exchange of a sum for a smaller item, (0, -1, -1) without one.
+
+    ``sums`` ascend.  The largest that an item's bin has room for is the best for that item.
+    """
+    if not len(sums) or not len(size):
+        return 0, -1, -1
+    n = np.searchsorted(sums, size + gap, "right") - 1
+    d = sums[np.maximum(n, 0)] - size
+    d[(n < 0) | (capacity - gap + d <= fill_a)] = 0
+    g = int(np.argmax(d))
+    return (int(d[g]), int(n[g]), g) if d[g] > 0 else (0, -1, -1)
+
+
+def local_search(sizes: np.ndarray, where: np.ndarray, free: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Empty underfull bins by moves, one-for-one and two-for-one exchanges, each growing the sum of squared fills.
 
-    Ends when the number of bins is the least possible, or after every underfull
-    bin (at most ``most_tries`` of the emptiest) was tried without emptying.
+    Ends when the number of bins is the least possible, or when no item or pair
+    of items of any underfull bin has an improving move or exchange.
     """
     where, free = where.copy(), free.copy()
     least = -(-int(sizes.sum()) // capacity)
     alive = int((free < capacity).sum())
-    tried: set[int] = set()
-    while alive > least and len(tried) < most_tries:
-        under = np.flatnonzero((free > 0) & (free < capacity))
-        under = under[~np.isin(under, list(tried))] if tried else under
+    tried = np.zeros(len(free), bool)
+    while alive > least:
+        under = np.flatnonzero((free > 0) & (free < capacity) & ~tried)
         if len(under) < 1:
             break
         a = int(under[np.argmax(free[under])])
         mine = list(np.flatnonzero(where == a))
-        pool = np.flatnonzero((free[where] > 0) & (where != a))
+        tried[a] = True
         while mine:
+            pool = np.flatnonzero((free[where] > 0) & (where != a))
             gap, size = free[where[pool]], sizes[pool]
             best, op = 0, None
-            out = sorted(mine, key=lambda i: -sizes[i])
+            fill_a = int(capacity - free[a])
+            # items of one size are alike
+            of: dict[int, list[int]] = {}
+            for i in mine:
+                of.setdefault(int(sizes[i]), []).append(i)
+            single = np.array(sorted(of), "i8")
+            # a move: into the bin it fills best
             bins = np.flatnonzero((free > 0) & (free < capacity))
             bins = bins[bins != a]
-            fill_a = capacity - free[a]
-            for n, i in enumerate(out[:16]):
-                s = int(sizes[i])
-                # a move: into the bin it fills best
-                ok = bins[free[bins] >= s]
-                if len(ok) and s > best:
-                    best, op = s, ((i,), None, int(ok[np.argmin(free[ok])]))
-                # for one smaller item of another bin
-                d = s - size
-                good = np.flatnonzero((d > 0) & (d <= gap) & (capacity - gap + d > fill_a))
-                if len(good):
-                    g = good[np.argmax(d[good])]
-                    if d[g] > best:
-                        best, op = int(d[g]), ((i,), int(pool[g]), int(where[pool[g]]))
-                # two for one
-                for i2 in out[n + 1 : 16]:
-                    d = s + int(sizes[i2]) - size
-                    good = np.flatnonzero((d > 0) & (d <= gap) & (capacity - gap + d > fill_a))
-                    if len(good):
-                        g = good[np.argmax(d[good])]
-                        if d[g] > best:
-                            best, op = int(d[g]), ((i, i2), int(pool[g]), int(where[pool[g]]))
+            bins = bins[np.argsort(free[bins], kind="stable")]
+            at = np.searchsorted(free[bins], single)
+            for s, n in zip(single[::-1].tolist(), at[::-1].tolist()):
+                if n < len(bins) and capacity - free[bins[n]] + s > fill_a:
+                    best, op = s, ((of[s][0],), None, int(bins[n]))
+                    break
+            # for one smaller item of another bin
+            d, n, g = _best_exchange(single, size, gap, fill_a, capacity)
+            if d > best:
+                best, op = d, ((of[int(single[n])][0],), int(pool[g]), int(where[pool[g]]))
+            # two for one
+            x, y = np.triu_indices(len(single))
+            can = (x != y) | np.array([len(of[s]) > 1 for s in single.tolist()])[x]
+            x, y = single[x[can]], single[y[can]]
+            twos, first = np.unique(x + y, return_index=True)
+            d, n, g = _best_exchange(twos, size, gap, fill_a, capacity)
+            if d > best:
+                i, i2 = of[int(x[first[n]])][0], of[int(y[first[n]])][-1]
+                best, op = d, ((i, i2), int(pool[g]), int(where[pool[g]]))
             if op is None:
                 break
             gone, back, b = op
@@ -106,10 +123,10 @@ def local_search(sizes: np.ndarray, where: np.ndarray, free: np.ndarray, capacit
                 mine.append(back)
             free[b] -= best
             free[a] += best
-            pool = np.flatnonzero((free[where] > 0) & (where != a))
-        if mine:
-            tried.add(a)
-        else:
+            # what was tried before may improve now
+            tried[:] = False
+            tried[a] = True
+        if not mine:
             alive -= 1
     return where, free
 

@@ -203,6 +203,37 @@ def test_local_search_empties_bins():
     assert len(np.unique(packing.local_search(size, np.array([0, 0, 1, 1, 1, 2]), np.array([1, 1, 8]), 10)[0])) == 2
 
 
+@pytest.mark.parametrize("seed,least", [(159, 88), (453, 25), (990, 28), (1124, 33), (1753, 34), (2423, 22)])
+def test_local_search_tries_every_item(seed, least):
+    rng = np.random.default_rng(seed)
+    size = rng.integers(1, int(rng.integers(5, 60)), int(rng.integers(60, 400)))
+    where, free = packing.local_search(size, *packing.best_fit_decreasing(size, 100), 100)
+    assert len(np.unique(where)) == least == -(-size.sum() // 100)
+    assert all(size[where == b].sum() == 100 - free[b] <= 100 for b in np.unique(where))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=60))
+def test_local_search_leaves_no_improvement(sizes):
+    size = np.array(sizes)
+    where, free = packing.local_search(size, np.arange(len(size)), np.full(len(size), 30) - size, 30)
+    assert all(size[where == b].sum() == 30 - free[b] <= 30 for b in range(len(free)))
+    used = sorted(set(where.tolist()))
+    if len(used) == -(-size.sum() // 30):
+        return
+    fill = {b: int(size[where == b].sum()) for b in used}
+    for a in used:
+        mine = [int(s) for s in size[where == a]]
+        outs = [(s,) for s in mine] + [(s, t) for i, s in enumerate(mine) for t in mine[i + 1 :]]
+        for b in used:
+            if b == a or 30 in (fill[a], fill[b]):
+                continue
+            for out in outs:
+                for back in [0] * (len(out) == 1) + [int(s) for s in size[where == b]]:
+                    d = sum(out) - back
+                    assert not (d > 0 and fill[b] + d <= 30 and fill[b] + d > fill[a])
+
+
 def test_containers(spark):
     rows = [(i, "one two three " * (1 + i % 7)) for i in range(200)] + [(900, "long text " * 3000), (901, None), (902, ""), (None, "x"), (3, "one two three " * 4)]
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id long, text string, container int, key string")
