@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.functions import text as X
+from quillstone.operators import cleaning as C
 
 
 def check_config(size: int, overlap: int) -> None:
@@ -227,13 +228,15 @@ def table_prefix(header: str, years: str, nearby: str, most: int, count: Callabl
 def structured_chunks(elements: DataFrame, rows: DataFrame, max_tokens: int = 300, count: Callable[[str], int] = word_count) -> DataFrame:
     """Chunks of typed documents: paragraphs and headings buffered per page (per element outside pdf), table rows with a repeated prefix.
 
-    ``elements``: (document_id, ordinal, element_id, kind, text, table_id, page, fmt);
+    ``elements``: (document_id, ordinal, element_id, kind, text, table_id, page, fmt) and, for
+    footers, bbox; pdf text blocks that are noise (``without_noise``) are left out;
     ``rows``: (document_id, table_id, row_no, row_text, header, years).  One page
     or one table is a unit of work, so a large document spreads over tasks; the
     three last paragraphs before a table (on its page) are its nearby text.
     """
     if max_tokens <= 0:
         raise ValueError("max_tokens must be positive")
+    elements = C.without_noise(elements)
     e = elements.withColumn("unit", F.when(F.col("kind") == "table", F.concat(F.lit("t"), F.col("table_id"))).when(F.col("fmt") == "pdf", F.concat(F.lit("p"), F.col("page").cast("string"))).otherwise(F.concat(F.lit("e"), F.col("element_id"))))
     texts = e.where("kind <> 'table' and trim(coalesce(text, '')) <> ''").select("document_id", "unit", "ordinal", "element_id", "page", "text", F.lit(None).cast("string").alias("table_id"), F.lit("").alias("prefix"), F.expr("cast(array() as array<string>)").alias("refs"))
     near = nearby_context(elements)

@@ -37,6 +37,19 @@ def drop_footers(blocks: DataFrame, group: str = "document_id", page: str = "pag
     return b.join(often.withColumn("gone__", F.lit(True)), [group, "key__"], "left").where("gone__ is null").drop("key__", "gone__").select(*blocks.columns)
 
 
+def without_noise(elements: DataFrame) -> DataFrame:
+    """Typed elements without pdf text blocks that are repeated footers, symbols only or blank.
+
+    ``elements``: (document_id, kind, text, page, fmt) and, for footers, bbox.
+    Tables and other formats stay, and every text stays as it is.
+    """
+    block = F.coalesce((F.col("fmt") == "pdf") & (F.col("kind") != "table"), F.lit(False))
+    blocks = elements.where(block)
+    # a symbol block may be its page's lowest, so footers are looked for among all blocks
+    kept = drop_footers(blocks) if "bbox" in elements.columns else blocks
+    return elements.where(~block).unionByName(drop_blank(drop_symbol_blocks(kept)))
+
+
 def page_text(blocks: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
     """(keys, text): the blocks' texts in order, a blank line between."""
     got = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))

@@ -89,7 +89,7 @@ def span_violations(s: SparkSession, d: str) -> DataFrame:
 
 
 def structured_chunks(s: SparkSession, d: str) -> DataFrame:
-    e = once(table(s, d, "elements"), "element_id").select("document_id", "ordinal", "element_id", "kind", "text", "table_id", F.col("source.page").alias("page"), F.col("source.fmt").alias("fmt"))
+    e = once(table(s, d, "elements"), "element_id").select("document_id", "ordinal", "element_id", "kind", "text", "table_id", F.col("source.page").alias("page"), F.col("source.fmt").alias("fmt"), F.col("source.bbox").alias("bbox"))
     cells, tables = once(table(s, d, "cells"), "cell_id"), table(s, d, "doc_tables")
     heads = T.column_headers(cells, tables).groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("col_no", "header"))).alias("h"))
     header = F.array_join(F.transform("h", lambda x: F.concat(F.lit("C"), x["col_no"].cast("string"), F.lit(": "), x["header"])), " | ")

@@ -108,6 +108,20 @@ def test_structured_chunks(spark):
     assert set(got[1].element_ids) == {"e1", "e2"}
 
 
+def test_structured_chunks_leave_noise_out(spark):
+    foot, low, rows = "Acme Inc. | 2025 Form 10-K | {}", [0.0, 700.0, 9.0, 710.0], []
+    for p in (1, 2, 3):
+        rows += [("d", 10 * p, f"s{p}", "paragraph", "® ™", None, p, "pdf", [0.0, 5.0, 9.0, 9.0]), ("d", 10 * p + 1, f"b{p}", "paragraph", f"body  {p}\n®", None, p, "pdf", [0.0, 30.0, 9.0, 40.0])]
+        rows += [("d", 10 * p + 2, f"f{p}", "paragraph", foot.format(p), None, p, "pdf", low), ("d", 10 * p + 3, f"t{p}", "table", None, f"t{p}", p, "pdf", None)]
+    rows += [("w", 1, "x1", "paragraph", "®", None, None, "docx", None), ("o", 1, "o1", "paragraph", foot.format(1), None, 1, "pdf", low), ("n", 1, "n1", "paragraph", "no format", None, None, None, None)]
+    e = spark.createDataFrame(rows, "document_id string, ordinal int, element_id string, kind string, text string, table_id string, page int, fmt string, bbox array<double>")
+    cells = spark.createDataFrame([("d", f"t{p}", 2, "C1: 5", "C1: 2020", "") for p in (1, 2, 3)], "document_id string, table_id string, row_no int, row_text string, header string, years string")
+    got = K.structured_chunks(e, cells, 40).collect()
+    assert sorted((r.document_id, r.text, *r.element_ids) for r in got if r.kind == "text") == [("d", f"body  {p}\n®", f"b{p}") for p in (1, 2, 3)] + [("n", "no format", "n1"), ("o", foot.format(1), "o1"), ("w", "®", "x1")]
+    assert {(*r.context_refs,) for r in got if r.kind == "table"} == {(f"b{p}",) for p in (1, 2, 3)}
+    assert len(K.structured_chunks(e.drop("bbox"), cells, 40).where("exists(element_ids, x -> x like 'f%')").collect()) == 3
+
+
 UNIT = {"id": "u", "pages": [63], "anchors": [{"phrases": ["Capital spending"]}, {"number": "4625"}], "max_span": 60, "values_after_label": True}
 
 
