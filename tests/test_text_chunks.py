@@ -130,6 +130,14 @@ def test_match_unit(text, hit):
     assert (N.match_unit(text, UNIT) is not None) == hit
 
 
+def test_long_islands(spark):
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(200)))], "document_id int, text string")
+    w = K.word_windows(df, ["document_id"], size=10, overlap=0)
+    c = w.select(F.lit(1).alias("case_id"), "document_id", F.lit(1).alias("page"), F.col("chunk_no").cast("string").alias("chunk_id"), F.col("chunk").alias("text"), (F.col("chunk_no") * 10).alias("char_start"), (F.col("chunk_no") * 10 + 10).alias("char_end"))
+    sizes = lambda x: [len(r.parts) for r in N.stitched(x).orderBy("island").collect()]
+    assert sizes(c) == [20] and sizes(c.where("chunk_id not in ('7', '8', '19')")) == [7, 10]
+
+
 def test_content_over_neighbours(spark):
     schema = "case_id string, document_id string, page int, chunk_id string, text string, char_start int, char_end int"
     crit = spark.createDataFrame([("x", "D", False, json.dumps([UNIT])), ("m", "D", True, json.dumps([UNIT]))], "case_id string, document_id string, manual_required boolean, units string")
