@@ -71,8 +71,9 @@ def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The boilerplate blocks: their lines and pages."""
-    return boilerplate.repeated_lines(_t(spark, sf_dir, "elements"))[1].groupBy("document_id", "block").agg(F.count("*").alias("n_lines"), F.max("support").alias("most_pages"))
+    """The boilerplate blocks: their repeated lines, the lines just under the support that belong to them, and their pages."""
+    n = lambda c: F.count_if(c).alias
+    return boilerplate.repeated_lines(_t(spark, sf_dir, "elements"))[1].groupBy("document_id", "block").agg(n(F.col("repeated"))("n_lines"), n(~F.col("repeated"))("n_near"), F.max("support").alias("most_pages"))
 
 
 def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +127,7 @@ P3_FOUND = r"""
 with e as (select distinct element_id, document_id, source.page as page, text from elements where source.page is not null and text is not null),
 l as (select element_id, document_id, page, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from e),
 k as (select element_id, document_id, page, line_no,
-             trim(regexp_replace(regexp_replace(replace(replace(lower(upper(line)), 'ß', 'ss'), 'ς', 'σ'), '[\s\x{85}\p{Z}\v]+', ' ', 'g'), '\p{Nd}+', '0', 'g')) as k
+             trim(regexp_replace(regexp_replace(replace(lower(line), 'ς', 'σ'), '[\s\x{85}\p{Z}\v]+', ' ', 'g'), '\p{Nd}+', '0', 'g')) as k
       from l where length(regexp_replace(line, '\P{L}+', '', 'g')) >= 12),
 n as (select document_id, k from k group by all having count(distinct page) >= 5)
 select distinct element_id, cast(line_no as integer) as line_no from k join n using (document_id, k)
