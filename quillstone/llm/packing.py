@@ -189,4 +189,5 @@ def pack_sizes(sized: DataFrame, key: str, size: str, capacity: int) -> DataFram
         out["container"] += int(pdf["g"].iloc[0]) * SPAN
         return out
 
-    return dealt.groupBy("g").applyInPandas(pack, f"key {kind}, container bigint, place int, tokens int, start int").withColumnRenamed("key", key)
+    # a task per group: left to itself, adaptive execution puts these few rows into one task
+    return dealt.repartitionByRange(groups, "g").groupBy("g").applyInPandas(pack, f"key {kind}, container bigint, place int, tokens int, start int").withColumnRenamed("key", key)
