@@ -76,16 +76,21 @@ def p3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.repeated_lines(_t(spark, sf_dir, "elements"))[1].groupBy("document_id", "block").agg(n(F.col("repeated"))("n_lines"), n(~F.col("repeated"))("n_near"), F.max("support").alias("most_pages"))
 
 
-def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every element and cell with its text in one consistent form."""
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 5's texts: Element.text and Cell.text."""
     e = _t(spark, sf_dir, "elements").select(F.lit("element").alias("item_kind"), F.col("element_id").alias("item_id"), "text")
     c = _t(spark, sf_dir, "cells").select(F.lit("cell").alias("item_kind"), F.col("cell_id").alias("item_id"), "text")
-    return visual.one_form(e.unionByName(c), ["item_kind", "item_id"])
+    return e.unionByName(c)
+
+
+def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every element and cell with its text in one consistent form."""
+    return visual.one_form(_texts(spark, sf_dir), ["item_kind", "item_id"])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements and cells whose text holds a variant."""
-    return p5_forms(spark, sf_dir).where("has_variant").select("item_kind", "item_id")
+    return visual.one_form(_texts(spark, sf_dir), ["item_kind", "item_id"], dedupe=False).where("has_variant").select("item_kind", "item_id").distinct()
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
