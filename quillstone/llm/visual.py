@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from quillstone.functions import lookalike
 from quillstone.session import materialize
 
-#: Characters of which no two different sequences are equal under the collation, and none of which is or makes a variant.  One class, one pass.
-_COMMON = "\\t\\n\\r -~¡-¬®-ıĴ-ňŊ-žḀ-ẙ‒-―‘-•…‰′-″‹-›€№™∂-∿一-龥、-〆〈-】ぁ-ゖァ-ヺ가-힣"
-_UNCOMMON = f"[^{_COMMON}]"
+#: Characters of which no two different sequences are equal under the collation, and none of which is or makes a variant.
+_ASCII = "\\t\\n\\r -~"
+_BEYOND = "¡-¬®-ıĴ-ňŊ-žḀ-ẙ‒-―‘-•…‰′-″‹-›€№™∂-∿一-龥、-〆〈-】ぁ-ゖァ-ヺ가-힣"
+#: The long class is asked only for what the short one leaves.
+_UNCOMMON = f"[^{_ASCII}](?<![{_BEYOND}])"
 _IGNORED = regex.compile(r"[\p{Cc}--[\t\n\v\f\r\u0085]]", regex.V1)
 
 HOT = 100  #: a value of more than 1/HOT of the rows joined back is hot, so there are fewer than HOT of them
@@ -51,21 +53,20 @@ def one_form(df: DataFrame, keys: list[str], text: str = "text", dedupe: bool =
 
     The canonical member of a class is its value of common characters, else the
     most frequent, then smallest value without a variant, else the form.  With
-    ``dedupe`` a key delivered again counts once; without it the caller removes
-    repeats from the (much smaller) result.  A null text stays null and has no
+    ``dedupe`` a key delivered again comes out once (should its texts differ, with
+    an uncommon one); without it the caller removes repeats from the (much smaller) result.  A null text stays null and has no
     variant, an empty one stays empty.  Equal values are folded before any
     shuffle; a value of common characters may fill any share of the rows, and an
     uncommon one that fills more than 1/``HOT`` of theirs is joined by broadcast.
     Other columns are ignored.
     """
     src = df.select(*keys, F.col(text).alias("value__"))
-    if dedupe:
-        src = src.dropDuplicates(keys)
     uncommon = F.coalesce(F.col("value__").rlike(_UNCOMMON), F.lit(False))
-    value = F.col("value__").alias("value")
-    odd = src.where(uncommon).select(value).groupBy("value").agg(F.count("*").alias("n"))
+    rows = materialize(src.where(uncommon).select(*keys, "value__", *(h.alias(f"{n}__") for h, n in zip(_hashes("value__"), ("h1", "h2")))), "uncommon")
+    odd = rows.select(F.col("value__").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
     forms = materialize(odd.mapInPandas(_map, "value string, n bigint, form string, plain string, variant boolean"), "forms")
-    common = src.where(~uncommon & F.col("value__").isNotNull()).select(value).select(*_hashes("value")).groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    # hashes of uncommon values meet none of those wanted below
+    common = src.where(F.col("value__").isNotNull()).select(*_hashes("value__")).groupBy("h1", "h2").agg(F.count("*").alias("n"))
     wanted = forms.where(~F.col("plain").rlike(_UNCOMMON)).select("plain").distinct().select(F.col("plain").alias("value"), *_hashes("plain"))
     own = wanted.join(common, ["h1", "h2"]).select("value", "n", F.col("value").alias("form"), F.lit(0).alias("v"))
     members = own.unionByName(forms.select("value", "n", "form", F.when(F.col("variant"), 2).otherwise(1).alias("v")))
@@ -76,8 +77,11 @@ def one_form(df: DataFrame, keys: list[str], text: str = "text", dedupe: bool =
     changes = forms.select("value", "n", "variant", cls).join(best.select("class", canonical.alias("to")), "class").where((F.col("to") != F.col("value")) | F.col("variant"))
     changes = materialize(changes.select(*_hashes("value"), "n", "to", "variant"), "changes")
 
-    rows = src.where(uncommon).select(*keys, "value__", *(h.alias(f"{n}__") for h, n in zip(_hashes("value__"), ("h1", "h2"))))
-    same = src.where(~uncommon).select(*keys, F.col("value__").alias(text), F.col("value__").alias("canonical"), F.lit(False).alias("has_variant"))
+    same = src.where(~uncommon)
+    if dedupe:
+        same = same.join(rows.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys)
+        rows = rows.dropDuplicates(keys)
+    same = same.select(*keys, F.col("value__").alias(text), F.col("value__").alias("canonical"), F.lit(False).alias("has_variant"))
     total = forms.agg(F.sum("n")).first()[0] or 0
     return same.unionByName(_joined(rows, changes, total).select(*keys, F.col("value__").alias(text), F.coalesce("to__", "value__").alias("canonical"), F.coalesce("variant__", F.lit(False)).alias("has_variant")))
 
