@@ -368,3 +368,19 @@ def test_restore_frame(spark):
     assert len(got) == 6 and got[500].garbled and got[500].restored == CLEAN["fr"][0]
     assert got[501].restored is None and not got[501].garbled and not got[502].garbled and got[503].garbled and got[503].lost and not got[504].garbled
     assert encoding.restore(df.limit(0)).count() == 0
+
+
+def test_restored_texts(spark):
+    """p8's frame over several languages: every text comes back as written."""
+    from test_encoding_languages import LEGACY, SENTENCES, read_as as read, texts
+
+    rows, want = [], {}
+    for n, lang in enumerate(sorted(SENTENCES)):
+        for i, t in enumerate(texts(lang, 60, 1)):
+            k = 1000 * n + i
+            bad = {7: read(t.encode(), "cp1252"), 17: read(t.encode(), "cp1251"), 27: read(t.encode(LEGACY[lang]), "cp1252")}.get(i, t)
+            rows.append((k, bad, lang))
+            want[k] = (t, bad != t)
+    got = {r.doc_id: (r.restored, r.garbled) for r in encoding.restore(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    wrong = {k for k in want if got[k] != want[k]}
+    assert len(wrong) <= 0.05 * 3 * len(SENTENCES) and not any(want[k][0] != rows_[1] and got[k][0] not in (want[k][0], rows_[1]) for k, rows_ in zip(want, rows)), wrong
