@@ -17,9 +17,13 @@ def p4_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figures held in another unit whose amount agrees with the register."""
+    """Figures held in another unit whose amount agrees with the register.
+
+    A figure without a stated unit is in the common unit by definition here, so
+    what the mixture assigns (p4_amounts) has no part in it.
+    """
     cells, tables, register = _tables(spark, sf_dir)
-    return Q.register_matches(Q.to_common_units(cells, tables, register), register)
+    return Q.register_matches(Q.stated_amounts(cells, tables, register), register)
 
 
 def queries() -> dict:
