@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.functions import text as X
 from quillstone.operators import cleaning as C
+from quillstone.operators import tables as T1
 
 
 def check_config(size: int, overlap: int) -> None:
@@ -51,69 +56,57 @@ def pack_paragraphs(text: str, size: int, overlap: int) -> list[str]:
     """
     check_config(size, overlap)
     out: list[str] = []
-    cur: list[list[str]] = []
-
-    def tail(parts: list[list[str]], most: int) -> list[list[str]]:
-        got: list[list[str]] = []
-        for p in reversed(parts):
-            if most <= 0:
-                break
-            got.insert(0, p[-most:])
-            most -= len(got[0])
-        return got
+    held: list[tuple[int, str]] = []  # the open chunk's words, each with its paragraph's number
 
     def close() -> None:
-        if cur:
-            out.append("\n\n".join(" ".join(p) for p in cur))
+        if held:
+            out.append("\n\n".join(" ".join(w for _, w in g) for _, g in groupby(held, key=lambda x: x[0])))
 
-    for p in (q.split() for q in re.split(r"\n\s*\n", text)):
-        if not p:
-            continue
-        if len(p) > size:
+    for no, words in enumerate(q.split() for q in re.split(r"\n\s*\n", text)):
+        if len(words) > size:
             close()
-            cur = []
-            step = size - overlap
-            for a in range(0, len(p), step):
-                out.append(" ".join(p[a : a + size]))
-                if a + size >= len(p):
-                    break
+            held = []
+            last = -(-(len(words) - size) // (size - overlap))
+            out += [" ".join(words[i * (size - overlap) :][:size]) for i in range(last + 1)]
             continue
-        have = sum(map(len, cur))
-        if cur and have + len(p) > size:
+        if words and held and len(held) + len(words) > size:
             close()
-            cur = tail(cur, min(overlap, size - len(p)))
-        cur.append(p)
+            shared = min(overlap, size - len(words))
+            held = held[len(held) - shared :] if shared < len(held) else held
+        held += [(no, w) for w in words]
     close()
     return out
 
 
+def _atoms(text: str, most: int, count: Callable[[str], int]) -> Iterator[tuple[int, int, int]]:
+    """(start, end, tokens) of words with the white space after them; a word above ``most`` is halved until its parts fit."""
+    for m in re.finditer(r"\S+\s*|\s+", text):
+        todo = [m.span()]
+        while todo:
+            a, b = todo.pop()
+            n = count(text[a:b])
+            if n <= most or b - a == 1:
+                yield a, b, n
+            else:
+                todo += [((a + b) // 2, b), (a, (a + b) // 2)]
+
+
 def char_pieces(text: str, most: int, count: Callable[[str], int]) -> list[tuple[int, int]]:
-    """(start, end) of consecutive pieces of at most ``most`` units each that together are the text.
+    """(start, end) of consecutive pieces of at most ``most`` tokens each that together are the text.
 
-    The longest prefix that fits is found by bisection; it ends after its last
-    blank or line break where it has one, so words stay whole.
+    Words are counted once and summed, so a piece is found by search in the
+    running sums and ends at a word's end; the piece as a whole is counted again,
+    as a tokenizer may find more in it than in its words.
     """
-    out, at = [], 0
-    while at < len(text):
-        # the bracket doubles from the limit on, so a piece costs its own length, not the text's
-        lo, hi = at + 1, min(len(text), at + 8 * most)
-        while hi < len(text) and count(text[at:hi]) <= most:
-            lo, hi = hi, min(len(text), at + 2 * (hi - at))
-        if hi == len(text) and count(text[at:]) <= most:
-            end = len(text)
-        else:
-            while lo < hi:
-                mid = (lo + hi + 1) // 2
-                if count(text[at:mid]) <= most:
-                    lo = mid
-                else:
-                    hi = mid - 1
-            end = lo
-            cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
-            if cut > at and not text[end - 1].isspace() and not text[end : end + 1].isspace():
-                end = cut + 1
-        out.append((at, end))
-        at = end
+    atoms = list(_atoms(text, most, count))
+    sums = np.concatenate([[0], np.cumsum([n for *_, n in atoms])])
+    out, first = [], 0
+    while first < len(atoms):
+        last = max(first + 1, int(np.searchsorted(sums, sums[first] + most, "right")) - 1)
+        while last > first + 1 and count(text[atoms[first][0] : atoms[last - 1][1]]) > most:
+            last -= 1
+        out.append((atoms[first][0], atoms[last - 1][1]))
+        first = last
     return out
 
 
@@ -125,7 +118,6 @@ def sentence_chunks(text: str, most: int, pack: bool, count: Callable[[str], int
         if count(text[a:b]) <= most:
             spans.append((a, b))
             continue
-        at = a
         for s in re.finditer(r".+?(?:[.!?。！？]+(?=\s|$)|\Z)", text[a:b], re.S):
             x, y = a + s.start(), a + s.end()
             x += len(text[x:y]) - len(text[x:y].lstrip())
@@ -138,8 +130,6 @@ def sentence_chunks(text: str, most: int, pack: bool, count: Callable[[str], int
                     spans.append((x, y))
             else:
                 spans += [(x + i, x + j) for i, j in char_pieces(text[x:y], most, count)]
-            at = y
-        del at
     if not pack:
         return spans
     out: list[tuple[int, int]] = []
@@ -214,78 +204,140 @@ def span_violations(chunks: DataFrame, source: DataFrame, key: list[str], text:
 
 # ---------------------------------------------------------------- structured chunks
 
-_STRUCTURED = "document_id string, chunk_no int, kind string, page int, text string, token_count int, element_ids array<string>, table_id string, context_refs array<string>"
+VERSION = "1"  #: of the chunks' form; part of their ids
 
+# What stands before a table's rows.
+NEARBY = "Nearby text: {}\n"
+HEADER = "Table {}; header ({}): {}\n"
+BARE = "Table {}; headers in structured source\n"
 
-def table_prefix(header: str, years: str, nearby: str, most: int, count: Callable[[str], int]) -> str:
-    """What repeats before a table's rows: header, years and nearby text while they stay small against ``most``."""
-    if nearby and count(nearby) > most // 5:
-        nearby = ""
-    prefix = "\n".join(x for x in (nearby, header or years) if x)
-    return "" if count(prefix) > most // 2 else prefix
+_SPAN = "struct<element_id: string, start: int, end: int>"
+_CELL = "struct<row_no: int, col_no: int>"
+_SOURCE = "struct<fmt: string, page: int, bbox: array<double>, paragraph: int, table_no: int, sheet: string, cell_range: string, row_start: int, row_end: int>"
+_STRUCTURED = (
+    "chunk_id string, document_id string, chunk_no bigint, kind string, page int, text string, token_count int, element_ids array<string>, table_id string, context_refs array<string>, "
+    f"source {_SOURCE}, text_spans array<{_SPAN}>, cell_refs array<{_CELL}>, header_cell_refs array<{_CELL}>"
+)
 
 
-def structured_chunks(elements: DataFrame, rows: DataFrame, max_tokens: int = 300, count: Callable[[str], int] = word_count) -> DataFrame:
-    """Chunks of typed documents: paragraphs and headings buffered per page (per element outside pdf), table rows with a repeated prefix.
+def table_prefix(table: str, header: str, origin: str, nearby: str, most: int, count: Callable[[str], int]) -> tuple[str, bool]:
+    """(what repeats before a table's rows, is nearby text in it): nearby text up to a fifth of ``most``, the header while both stay within half, else the table's name."""
+    near = NEARBY.format(nearby) if nearby and count(nearby) <= most // 5 else ""
+    full = near + HEADER.format(table, origin or "unknown", header)
+    return (full, bool(near)) if count(full) <= most // 2 else (BARE.format(table), False)
+
+
+def _place(ordinal: int, row: int, piece: int) -> int:
+    """A number that ascends in reading order and is unique in its document."""
+    if not (0 <= row < 1 << 20 and 0 <= piece < 1 << 16):
+        raise ValueError("a table of more than a million rows, or a row of more than 65,536 pieces")
+    return (ordinal << 36) | (row << 16) | piece
+
+
+def _chunk(u, row: int, piece: int, kind: str, text: str, tokens: int, ids: list[str], refs: list[str], source: dict, spans: list[dict], cells: list, heads: list, most: int) -> tuple:
+    """One chunk's row; the id holds a digest of all that makes the chunk."""
+    made = json.dumps([text, source, ids, refs, spans], sort_keys=True, ensure_ascii=False)
+    no = _place(int(u.ordinal), row, piece)
+    cid = f"{u.document_id}_v{VERSION}_t{most}_c{no:x}_{hashlib.sha256(made.encode()).hexdigest()[:16]}"
+    return cid, u.document_id, no, kind, source["page"], text, tokens, ids, u.table_id, refs, source, spans, cells, heads
+
+
+def _source(u, **more) -> dict:
+    known = {k: getattr(u, k) for k in ("fmt", "paragraph", "table_no", "sheet", "cell_range")}
+    whole = {k: None if v is None or v != v else int(v) if k in ("paragraph", "table_no") else v for k, v in known.items()}
+    return {**whole, "page": None if pd.isna(u.page) else int(u.page), "bbox": None, "row_start": None, "row_end": None, **more}
 
-    ``elements``: (document_id, ordinal, element_id, kind, text, table_id, page, fmt) and, for
-    footers, bbox; pdf text blocks that are noise (``without_noise``) are left out;
-    ``rows``: (document_id, table_id, row_no, row_text, header, years).  One page
-    or one table is a unit of work, so a large document spreads over tasks; the
-    three last paragraphs before a table (on its page) are its nearby text.
+
+def _union(boxes: list) -> list[float] | None:
+    b = np.array([x for x in boxes if x is not None and len(x) == 4], "f8").reshape(-1, 4)
+    return [*b[:, :2].min(0).tolist(), *b[:, 2:].max(0).tolist()] if len(b) else None
+
+
+def _text_chunks(u, most: int, count: Callable[[str], int]) -> list[tuple]:
+    """A page's texts (an element's, outside pdf), a line break between, cut into pieces."""
+    ends = np.cumsum([len(p["text"]) + 1 for p in u.parts])
+    joined = "\n".join(p["text"] for p in u.parts)
+    out = []
+    for n, (a, b) in enumerate(char_pieces(joined, most, count)):
+        if not joined[a:b].strip():
+            continue
+        hit = range(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b, "left")) + 1)
+        mine = [(u.parts[i], int(ends[i]) - len(u.parts[i]["text"]) - 1) for i in hit]
+        spans = [{"element_id": p["element_id"], "start": max(0, a - s), "end": min(len(p["text"]), b - s)} for p, s in mine]
+        box = _union([p["bbox"] for p, _ in mine]) if u.fmt == "pdf" else None
+        ids = [p["element_id"] for p, _ in mine]
+        out.append(_chunk(u, 0, n, "text", joined[a:b], count(joined[a:b]), ids, [], _source(u, bbox=box), spans, [], [], most))
+    return out
+
+
+def _row_chunks(u, most: int, count: Callable[[str], int]) -> list[tuple]:
+    """A table row, cut into pieces with the table's prefix before each."""
+    pre, near = table_prefix(u.table_id, u.header or "", u.origin, u.nearby or "", most, count)
+    room = most - count(pre)
+    if room < 1:
+        raise ValueError("a table's name alone takes all tokens")
+    box = None if u.bbox is None else [float(x) for x in u.bbox]
+    cells = u.cell_range if u.fmt != "xlsx" or not u.cell_range else T1.a1_slice(u.cell_range, int(u.row_no), int(u.row_no))
+    source = _source(u, bbox=box, cell_range=cells, row_start=int(u.row_no), row_end=int(u.row_no))
+    refs = list(u.refs) if near and u.refs is not None else []
+    pick = lambda x: [] if x is None else [{"row_no": int(c["row_no"]), "col_no": int(c["col_no"])} for c in x]
+    return [
+        _chunk(u, int(u.row_no), n, "table", pre + u.row_text[a:b], count(pre + u.row_text[a:b]), [u.element_id], refs, source, [{"element_id": u.element_id, "start": a, "end": b}], pick(u.cell_refs), pick(u.header_cell_refs), most)
+        for n, (a, b) in enumerate(char_pieces(u.row_text, room, count))
+    ]
+
+
+def structured_chunks(elements: DataFrame, rows: DataFrame, max_tokens: int = 300, count: Callable[[str], int] = word_count) -> DataFrame:
+    """Chunks of typed documents: paragraphs and headings joined per page (per element outside pdf), table rows with a repeated prefix.
+
+    ``elements``: (document_id, ordinal, element_id, kind, text, table_id, page, fmt) and, where
+    known, bbox, paragraph, table_no, sheet and cell_range; pdf text blocks that are
+    noise (``without_noise``) are left out.  ``rows``: (document_id, table_id, row_no,
+    row_text, header) and, where known, origin, cell_refs and header_cell_refs.
+
+    Out come chunk_id (stable: the place and a digest of text and sources),
+    chunk_no (ascending in reading order and unique in the document, not dense), kind,
+    page, text, token_count, element_ids, table_id, context_refs (the elements of
+    the nearby text, where it is in the chunk), source (of all elements in the
+    chunk: the boxes' union; of a table's row: its range), text_spans (the part of
+    each element, or of the row's text), cell_refs and header_cell_refs.
+
+    A page or one table row is a unit of work, so documents and tables of any
+    size spread over tasks; the three last paragraphs before a table (on its page)
+    are its nearby text.  Blank texts and rows give no chunk.
     """
-    if max_tokens <= 0:
-        raise ValueError("max_tokens must be positive")
+    if max_tokens < 16:
+        raise ValueError("max_tokens must be at least 16")
     elements = C.without_noise(elements)
-    e = elements.withColumn("unit", F.when(F.col("kind") == "table", F.concat(F.lit("t"), F.col("table_id"))).when(F.col("fmt") == "pdf", F.concat(F.lit("p"), F.col("page").cast("string"))).otherwise(F.concat(F.lit("e"), F.col("element_id"))))
-    texts = e.where("kind <> 'table' and trim(coalesce(text, '')) <> ''").select("document_id", "unit", "ordinal", "element_id", "page", "text", F.lit(None).cast("string").alias("table_id"), F.lit("").alias("prefix"), F.expr("cast(array() as array<string>)").alias("refs"))
-    near = nearby_context(elements)
-    tables = (
-        e.where("kind = 'table'")
-        .select("document_id", "unit", "element_id", "page", "table_id")
-        .join(near, ["document_id", "element_id"], "left")
-        .join(rows.where("trim(row_text) <> ''"), ["document_id", "table_id"])
-    )
+    for c, kind in (("bbox", "array<double>"), ("paragraph", "int"), ("table_no", "int"), ("sheet", "string"), ("cell_range", "string")):
+        if c not in elements.columns:
+            elements = elements.withColumn(c, F.lit(None).cast(kind))
+    for c, kind in (("origin", "string"), ("cell_refs", f"array<{_CELL}>"), ("header_cell_refs", f"array<{_CELL}>")):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(kind))
+    at = ["page", "fmt", "paragraph", "table_no", "sheet", "cell_range"]
+    unit = F.when(F.col("fmt") == "pdf", F.concat(F.lit("p"), F.col("page").cast("string"))).otherwise(F.concat(F.lit("e"), F.col("element_id")))
+    texts = elements.where("kind <> 'table' and trim(coalesce(text, '')) <> ''").withColumn("unit", F.coalesce(unit, F.lit("p")))
+    parts = F.sort_array(F.collect_list(F.struct("ordinal", "element_id", "text", "bbox"))).alias("parts")
+    # a page is one row with its parts in order, so Python sees batches of pages instead of a call for each
+    pages = texts.groupBy("document_id", "unit").agg(parts, *(F.min(c).alias(c) for c in ("ordinal", *at))).withColumn("table_id", F.lit(None).cast("string"))
+    tables = elements.where("kind = 'table'").select("document_id", "ordinal", "element_id", "table_id", "bbox", *at).join(nearby_context(elements), ["document_id", "element_id"], "left")
+    known = rows.where("trim(row_text) <> ''").select("document_id", "table_id", "row_no", "row_text", "header", "origin", "cell_refs", "header_cell_refs")
 
-    def chunks_of(u) -> list[tuple]:
-        page = None if pd.isna(u.page) else int(u.page)
-        out = []
-        if u.table_id is None:
-            joined, spans = "", []
-            for p in u.parts:
-                joined += "\n\n" if joined else ""
-                spans.append((p["element_id"], len(joined), len(joined) + len(p["text"])))
-                joined += p["text"]
-            for a, b in char_pieces(joined, max_tokens, count):
-                if joined[a:b].strip():
-                    out.append(("text", joined[a:b], [x for x, s, t in spans if s < b and t > a], None, []))
-        else:
-            pre = table_prefix(u.header or "", u.years or "", u.prefix or "", max_tokens, count)
-            room = max(1, max_tokens - count(pre))
-            for p in u.parts:
-                for a, b in char_pieces(p["text"], room, count):
-                    piece = p["text"][a:b]
-                    out.append(("table", f"{pre}\n{piece}" if pre else piece, [p["element_id"]], u.table_id, list(u.refs) if pre and u.refs is not None else []))
-        return [(u.document_id, i, k, page, x, count(x), ids, tid, refs) for i, (k, x, ids, tid, refs) in enumerate(out)]
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["document_id", "chunk_no", "kind", "page", "text", "token_count", "element_ids", "table_id", "context_refs"]
-        for pdf in batches:
-            rows = [r for u in pdf.itertuples(index=False) for r in chunks_of(u)]
-            yield pd.DataFrame(rows, columns=names).astype({"page": "Int32"})
+    def cut(f) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        names = [x.split()[0] for x in re.sub(r"<[^<>]*(?:<[^<>]*>[^<>]*)*>", "", _STRUCTURED).split(",")]
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame([r for u in pdf.itertuples(index=False) for r in f(u, max_tokens, count)], columns=names).astype({"page": "Int32"})
 
-    t = tables.select("document_id", "unit", F.col("row_no").alias("ordinal"), "element_id", "page", F.col("row_text").alias("text"), "table_id", F.coalesce("nearby", F.lit("")).alias("prefix"), "refs", "header", "years")
-    x = texts.withColumn("header", F.lit("")).withColumn("years", F.lit("")).select(*t.columns)
-    # a unit is one row with its parts in order, so Python sees batches of units instead of a call for each
-    same = [F.max(c).alias(c) for c in ("page", "table_id", "prefix", "refs", "header", "years")]
-    units = x.unionByName(t).groupBy("document_id", "unit").agg(F.sort_array(F.collect_list(F.struct("ordinal", "element_id", "text"))).alias("parts"), *same)
-    return units.mapInPandas(cut, _STRUCTURED)
+        return work
+
+    return pages.mapInPandas(cut(_text_chunks), _STRUCTURED).unionByName(known.join(tables, ["document_id", "table_id"]).mapInPandas(cut(_row_chunks), _STRUCTURED))
 
 
 def nearby_context(elements: DataFrame, n: int = 3) -> DataFrame:
     """(document_id, element_id, nearby, refs) per table: the last ``n`` text elements since the table before, on the same page where pages exist."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("document_id").orderBy("ordinal")
     g = elements.withColumn("group", F.sum(F.when(F.col("kind") == "table", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     w = Window.partitionBy("document_id", "group").orderBy("ordinal").rowsBetween(-n, -1)
@@ -296,5 +348,5 @@ def nearby_context(elements: DataFrame, n: int = 3) -> DataFrame:
         .withColumn("seen", seen)
         .where("kind = 'table'")
         .withColumn("near", same)
-        .select("document_id", "element_id", F.array_join(F.transform("near", lambda x: x["text"]), "\n").alias("nearby"), F.transform("near", lambda x: x["element_id"]).alias("refs"))
+        .select("document_id", "element_id", F.array_join(F.transform("near", lambda x: x["text"]), " | ").alias("nearby"), F.transform("near", lambda x: x["element_id"]).alias("refs"))
     )

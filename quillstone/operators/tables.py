@@ -29,8 +29,15 @@ def column_headers(cells: DataFrame, tables: DataFrame) -> DataFrame:
     return t.groupBy("table_id", "col_no").agg(F.array_join(got, " / ").alias("header"))
 
 
+def header_cells(cells: DataFrame, tables: DataFrame) -> DataFrame:
+    """(table_id, row_no, col_no) of the cells that cover a header row, by their own place."""
+    heads = tables.select("table_id", F.explode("header_rows").alias("row_no"))
+    at = covered_positions(cells).join(heads, ["table_id", "row_no"], "left_semi")
+    return at.select("table_id", F.col("anchor_row").alias("row_no"), F.col("anchor_col").alias("col_no")).distinct()
+
+
 def render_rows(cells: DataFrame, tables: DataFrame) -> DataFrame:
-    """(document_id, table_id, row_no, row_text): body rows as ``C<n> [<year>]: <text> [format=<f>]`` joined by " | "; blank cells are left out, blank rows give nothing."""
+    """(document_id, table_id, row_no, row_text, cell_refs): body rows as ``C<n> [<year>]: <text> [format=<f>]`` joined by " | "; blank cells are left out, blank rows give nothing."""
     heads = tables.select("table_id", F.explode("header_rows").alias("row_no"))
     body = cells.where("trim(coalesce(text, '')) <> ''").join(heads, ["table_id", "row_no"], "left_anti")
     years = column_headers(cells, tables).select("table_id", "col_no", F.regexp_extract("header", r"(?:^|\D)((?:19|20)\d{2})(?:\D|$)", 1).alias("year"))
@@ -39,7 +46,9 @@ def render_rows(cells: DataFrame, tables: DataFrame) -> DataFrame:
     fmt = F.when(F.col("number_format").isNotNull() & (F.col("number_format") != "General"), F.concat(F.lit(" [format="), F.col("number_format"), F.lit("]"))).otherwise("")
     one = F.concat(F.lit("C"), F.col("col_no").cast("string"), year, F.lit(": "), F.col("text"), fmt)
     got = F.sort_array(F.collect_list(F.struct("col_no", one.alias("t"))))
-    return j.groupBy("document_id", "table_id", "row_no").agg(F.array_join(F.transform(got, lambda x: x["t"]), " | ").alias("row_text"))
+    return j.groupBy("document_id", "table_id", "row_no").agg(
+        F.array_join(F.transform(got, lambda x: x["t"]), " | ").alias("row_text"), F.transform(got, lambda x: F.struct(F.col("row_no").alias("row_no"), x["col_no"].alias("col_no"))).alias("cell_refs")
+    )
 
 
 def preview(cells: DataFrame, rows: int = 100, columns: int = 50) -> DataFrame:

@@ -88,13 +88,34 @@ def span_violations(s: SparkSession, d: str) -> DataFrame:
     return K.span_violations(token_window_chunks(s, d), docs, ["doc_id"])
 
 
-def structured_chunks(s: SparkSession, d: str) -> DataFrame:
-    e = once(table(s, d, "elements"), "element_id").select("document_id", "ordinal", "element_id", "kind", "text", "table_id", F.col("source.page").alias("page"), F.col("source.fmt").alias("fmt"), F.col("source.bbox").alias("bbox"))
+def _structured(s: SparkSession, d: str) -> DataFrame:
+    get = lambda *names: [F.col(f"source.{n}").alias(n) for n in names]
+    e = once(table(s, d, "elements"), "element_id").select("document_id", "ordinal", "element_id", "kind", "text", "table_id", *get("page", "fmt", "bbox", "paragraph", "table_no", "sheet", "cell_range"))
     cells, tables = once(table(s, d, "cells"), "cell_id"), table(s, d, "doc_tables")
     heads = T.column_headers(cells, tables).groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("col_no", "header"))).alias("h"))
     header = F.array_join(F.transform("h", lambda x: F.concat(F.lit("C"), x["col_no"].cast("string"), F.lit(": "), x["header"])), " | ")
-    rows = T.render_rows(cells, tables).join(heads.select("table_id", header.alias("header")), "table_id", "left").withColumn("years", F.lit(""))
-    return K.structured_chunks(e, rows, 120)
+    places = T.header_cells(cells, tables).groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("row_no", "col_no"))).alias("header_cell_refs"))
+    about = tables.select("table_id", F.col("header_origin").alias("origin")).join(heads.select("table_id", header.alias("header")), "table_id", "left").join(places, "table_id", "left")
+    return K.structured_chunks(e, T.render_rows(cells, tables).join(about, "table_id", "left"), 120)
+
+
+def structured_chunks(s: SparkSession, d: str) -> DataFrame:
+    return _structured(s, d)
+
+
+def structured_text_audit(s: SparkSession, d: str) -> DataFrame:
+    """Per document: the text of all text chunks in order without white space, as a hash, and their number of spans' elements."""
+    c = _structured(s, d).where("kind = 'text'")
+    got = F.sort_array(F.collect_list(F.struct("chunk_no", "text", "element_ids")))
+    t = c.groupBy("document_id", "page").agg(got.alias("g"))
+    joined = F.regexp_replace(F.array_join(F.transform("g", lambda x: x["text"]), ""), r"(?U)\s+", "")
+    return t.select("document_id", F.coalesce("page", F.lit(0)).alias("page"), F.sha2(joined, 256).alias("h"), F.size(F.array_distinct(F.flatten(F.transform("g", lambda x: x["element_ids"])))).alias("n_elements"))
+
+
+def structured_row_audit(s: SparkSession, d: str) -> DataFrame:
+    """Per table row: how many of its text's characters the chunks' spans cover, and how many cells they name."""
+    c = _structured(s, d).where("kind = 'table'").select("table_id", F.col("source.row_start").alias("row_no"), F.col("text_spans")[0].alias("x"), F.size("cell_refs").alias("cells"))
+    return c.groupBy("table_id", "row_no").agg(F.sum(F.col("x.end") - F.col("x.start")).alias("n_chars"), F.max("cells").alias("n_cells"))
 
 
 def nearby_context(s: SparkSession, d: str) -> DataFrame:
@@ -214,6 +235,14 @@ select element_id from m where not (coalesce(low, false) and k is not null and (
     "chunk_coverage_audit": f"with {_win(100, 20)} select doc_id, count(*) as n_chunks, cast(sum(len(p) - case when chunk_no > 0 then 20 else 0 end) as bigint) as words, cast(max(len(p)) as integer) as largest, max(len(p)) <= 100 as ok from wc group by doc_id",
     "chunk_token_stats": "select document_id, count(*) as n, max(token_count) as largest, round(quantile_cont(token_count, 0.5), 6) as median, round(quantile_cont(token_count, 0.95), 6) as p95, cast(sum(greatest(0, token_count - 255)) as bigint) as over from (select distinct on (chunk_id) * from chunks) group by document_id",
     "span_violations": "select doc_id, cast(0 as integer) as chunk_no from documents where false",
+    "structured_text_audit": rf"""with {_E}, b as (select element_id, document_id, ordinal, kind, text, source.page as page, source.fmt as fmt, source.bbox[4] as y from e where kind <> 'table'),
+m as (select *, coalesce(y >= max(y) over (partition by document_id, page) - 2, false) as low, lower(nullif(regexp_extract(regexp_replace(regexp_replace(text, '{_WS}', ' ', 'g'), {_STRIP}), '^([^|\n]+\|\s*\d{{4}}\s+Form\s+10-K)\s*\|\s*\d+$', 1, 'i'), '')) as k from b),
+o as (select document_id, k from m where fmt = 'pdf' and low and k is not null group by all having count(distinct page) >= 3),
+n as (select * from m where trim(coalesce(text, '')) <> '' and (fmt <> 'pdf' or (regexp_replace(text, {_STRIP}) <> '' and not regexp_full_match(text, '[®™\s\p{{Z}}\x{{85}}\v]+') and not (low and k is not null and (document_id, k) in (select (document_id, k) from o)))))
+select document_id, coalesce(page, 0) as page, sha256(regexp_replace(string_agg(text, '' order by ordinal, element_id), '{_WS}', '', 'g')) as h, cast(count(*) as integer) as n_elements from n where regexp_replace(text, {_STRIP}) <> '' group by all""",
+    "structured_row_audit": rf"""with {_HEAD}, y as (select table_id, col_no, regexp_extract(header, '(?:^|[^0-9])((?:19|20)[0-9]{{2}})(?:[^0-9]|$)', 1) as year from hd)
+select table_id, row_no, cast(length(string_agg('C' || col_no || case when coalesce(year, '') <> '' then ' [' || year || ']' else '' end || ': ' || text || case when number_format is not null and number_format <> 'General' then ' [format=' || number_format || ']' else '' end, ' | ')) as bigint) as n_chars, cast(count(*) as integer) as n_cells
+from ce left join y using (table_id, col_no) where trim(coalesce(text, '')) <> '' and (table_id, row_no) not in (select (table_id, row_no) from hr) and table_id in (select table_id from elements where kind = 'table') group by all""",
     "literal_evidence_audit": f"with {_E} select e.element_id, coalesce(max(cast(contains({_compact('p.text')}, {_compact('e.text')}) as integer)), 0) as literal from e left join (select distinct document_id, page, text from parsed_pages) p on p.document_id = e.document_id and p.page = e.source.page where e.text is not null and e.source.page is not null group by e.element_id",
     "adjacent_segments": f"""with {_win(50, 0)}, c as (select *, chunk_no - row_number() over (partition by doc_id order by chunk_no) as g from wc where chunk_no % 4 <> 3),
 i as (select doc_id, g, sum(length(array_to_string(p, ' '))) as n, count(*) as k from c group by all)
@@ -245,7 +274,7 @@ select doc_id, chunk_no, count(*) as parts, cast(sum(least(a1, least(b0 + 35, n)
 def queries() -> dict:
     names = [
         tokenize_docs, word_count, normalize_whitespace, merge_broken_lines, normalize_pages, compact_text, content_ids, symbol_block_filter, repeated_line_footer, page_assembly,
-        fixed_window_chunks, chunk_coverage_audit, chunk_token_stats, paragraph_pack_chunks, sentence_chunks, token_window_chunks, span_violations, structured_chunks, nearby_context,
+        fixed_window_chunks, chunk_coverage_audit, chunk_token_stats, paragraph_pack_chunks, sentence_chunks, token_window_chunks, span_violations, structured_chunks, structured_text_audit, structured_row_audit, nearby_context,
         literal_evidence_audit, adjacent_segments, span_overlap_join, location_label, location_rules, grid_rules, reference_rules, latest_delivery, incremental_new_docs, delete_document,
         row_span_expand, column_headers, table_row_render, table_preview,
     ]

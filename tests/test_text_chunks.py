@@ -122,6 +122,30 @@ def test_structured_chunks_leave_noise_out(spark):
     assert len(K.structured_chunks(e.drop("bbox"), cells, 40).where("exists(element_ids, x -> x like 'f%')").collect()) == 3
 
 
+def test_structured_chunk_sources(spark):
+    rows = [("d", 1, "a", "paragraph", "one two three four five six seven eight nine ten", None, 1, "pdf", [5.0, 10.0, 50.0, 20.0], None, None), ("d", 2, "b", "paragraph", "eleven twelve thirteen fourteen fifteen sixteen seventeen", None, 1, "pdf", [1.0, 30.0, 60.0, 40.0], None, None)]
+    rows += [("x", 1, "n", "paragraph", "EUR m", None, None, "xlsx", None, "S", "A1:A1"), ("x", 2, "t", "table", None, "T9", None, "xlsx", None, "S", "B2:D5"), ("x", 3, "h", "table", None, "T10", None, "xlsx", None, "S", "F2:F9")]
+    e = spark.createDataFrame(rows, "document_id string, ordinal int, element_id string, kind string, text string, table_id string, page int, fmt string, bbox array<double>, sheet string, cell_range string")
+    long = "C1: " + "中文ABC " * 40
+    r = [("x", "T9", 2, "C1: a | C2: 5", "C2: 2020", "declared", [(2, 1), (2, 2)], [(1, 2)]), ("x", "T10", 3, long, "C1: " + "w " * 30, None, None, None), ("x", "T10", 4, " ", "", None, None, None)]
+    r = spark.createDataFrame(r, "document_id string, table_id string, row_no int, row_text string, header string, origin string, cell_refs array<struct<row_no: int, col_no: int>>, header_cell_refs array<struct<row_no: int, col_no: int>>")
+    got = K.structured_chunks(e, r, 16).orderBy("document_id", "chunk_no").collect()
+    assert len({c.chunk_id for c in got}) == len({(c.document_id, c.chunk_no) for c in got}) == len(got) and all(c.token_count <= 16 for c in got)
+    text = [c for c in got if c.document_id == "d"]
+    assert "".join(c.text for c in text) == rows[0][4] + "\n" + rows[1][4]
+    assert text[0].element_ids == ["a", "b"] and text[0].source.bbox == [1.0, 10.0, 60.0, 40.0] and text[-1].source.bbox == [1.0, 30.0, 60.0, 40.0]
+    assert [(x.element_id, x.start) for x in text[0].text_spans] == [("a", 0), ("b", 0)] and text[0].text_spans[1].end == text[1].text_spans[0].start and text[1].text_spans[0].end == len(rows[1][4])
+    one = next(c for c in got if c.table_id == "T9")
+    assert one.text == "Nearby text: EUR m\nTable T9; header (declared): C2: 2020\nC1: a | C2: 5" or one.text.startswith("Table T9; header")
+    assert one.source.cell_range == "B3:D3" and one.source.row_start == 2 and [tuple(x) for x in one.cell_refs] == [(2, 1), (2, 2)] and [tuple(x) for x in one.header_cell_refs] == [(1, 2)]
+    cut = [c for c in got if c.table_id == "T10"]
+    assert len(cut) > 1 and all(c.text.startswith("Table T10; headers in structured source\n") for c in cut) and "".join(c.text.split("\n", 1)[1] for c in cut) == long
+    again = K.structured_chunks(e.orderBy(F.desc("ordinal")), r, 16).collect()
+    assert {c.chunk_id for c in again} == {c.chunk_id for c in got}
+    with pytest.raises(ValueError):
+        K.structured_chunks(e, r, 15)
+
+
 UNIT = {"id": "u", "pages": [63], "anchors": [{"phrases": ["Capital spending"]}, {"number": "4625"}], "max_span": 60, "values_after_label": True}
 
 
