@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillstone.llm import boilerplate, encoding, mixing, neighbours, packing, split, visual
+from quillstone.llm import boilerplate, encoding, graph, mixing, neighbours, packing, split, visual
 from quillstone.llm.tokens import with_tokens
 
 VECTORS = "chunk_id string, embedding array<float>, id int, neighbour string, h1 long, vec string"
@@ -154,6 +154,14 @@ def test_line_key(spark):
     assert k[0] == k[1] != k[2] and k[3] == k[4]
 
 
+def test_components(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("q", "q"), (None, "z")] + [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)], "a string, b string")
+    got = {r.node: r.component for r in graph.connected_components(e).collect()}
+    assert {got[x] for x in "abcd"} == {"a"} and got["y"] == "x" and "q" not in got
+    assert {v for k, v in got.items() if k.startswith("n")} == {"n000"}
+    assert graph.connected_components(e.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- 5
 
 
