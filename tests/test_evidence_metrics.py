@@ -6,7 +6,6 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillstone.operators import evidence as E
-from quillstone.operators import graph as G
 from quillstone.operators import metrics as M
 from quillstone.operators import tables as T
 from quillstone.operators import validation as V
@@ -91,14 +90,6 @@ def test_latest(spark):
     assert {(r.k, r.v) for r in V.latest(df, ["k"]).collect()} == {("a", 2), ("b", 3)}
 
 
-def test_components(spark):
-    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("q", "q"), (None, "z")] + [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)], "a string, b string")
-    got = {r.node: r.component for r in G.connected_components(e).collect()}
-    assert {got[x] for x in "abcd"} == {"a"} and got["y"] == "x" and "q" not in got
-    assert {v for k, v in got.items() if k.startswith("n")} == {"n000"}
-    assert G.connected_components(e.limit(0)).count() == 0
-
-
 def test_table_rows(spark):
     cells = spark.createDataFrame(
         [("d", "t", "a", 1, 1, 1, 1, "", None), ("d", "t", "b", 1, 2, 1, 2, "FY 2020", None), ("d", "t", "c", 2, 1, 1, 1, "Sales", None), ("d", "t", "e", 2, 2, 1, 1, "5", "0%"), ("d", "t", "f", 2, 3, 1, 1, None, None)],

@@ -154,6 +154,25 @@ def test_match_unit(text, hit):
     assert (N.match_unit(text, UNIT) is not None) == hit
 
 
+def test_phrases_and_numbers():
+    t = N.normal("Net-Sales  of 1 234 567.5 and 12,345; ﬁnal 4.5 % or 14.5")
+    assert [t[a:b] for a, b in N.phrase_spans(t, "NET sales")] == ["net-sales"] and [t[a:b] for a, b in N.phrase_spans(t, "final 4.5")] == ["final 4.5"]
+    assert N.phrase_spans(t, "45") == N.phrase_spans(t, "4.5") == [(t.index("4.5"), t.index("4.5") + 3)] and not N.phrase_spans("45", "4.5")
+    assert [t[a:b] for a, b in N.number_spans(t, "1,234,567.5")] == ["1 234 567.5"] and not N.number_spans(t, "34567.5") and [t[a:b] for a, b in N.number_spans(t, "12345")] == ["12,345"]
+    for bad in ("", "a1", "1.x"):
+        with pytest.raises(ValueError):
+            N.number_spans(t, bad)
+    with pytest.raises(ValueError):
+        N.phrase_spans(t, " – ")
+
+
+def test_ligatures_shift_nothing(spark):
+    schema = "case_id string, document_id string, page int, chunk_id string, text string, char_start int, char_end int"
+    crit = spark.createDataFrame([("x", "D", False, json.dumps([UNIT]))], "case_id string, document_id string, manual_required boolean, units string")
+    rows = [("x", "D", 63, "a", "ﬃ ﬃ ß ﬃ ", 0, 8), ("x", "D", 63, "b", "Capital spending 4,625", 8, 30), ("x", "D", 63, "c", " and the rest", 30, 43)]
+    assert N.score_content(spark.createDataFrame(rows, schema), crit).first().supporting == ["b"]
+
+
 def test_long_islands(spark):
     df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(200)))], "document_id int, text string")
     w = K.word_windows(df, ["document_id"], size=10, overlap=0)
