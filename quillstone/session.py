@@ -2,8 +2,10 @@
 
 Intermediate tables that cut lineage are written below the folder the cluster
 names in ``spark.checkpoint.dir``; every executor sees it, so a lost executor
-costs a re-read and nothing else.  Only where that setting is absent (tests, a
-laptop) a folder of our own below the system's temporary folder is used.
+costs a re-read and nothing else.  Only where that setting is absent and the
+master is a local one (tests, a laptop) a folder of our own below the system's
+temporary folder is used.  What is written there is named by application and
+deleted when the application ends.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_root: str | None = None
 _shipped: set[str] = set()
+_swept: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -53,19 +56,29 @@ def local_session(app: str = "quillstone", cpus: int | None = None, **conf: str)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder for checkpoints and intermediate tables."""
+    """The folder for checkpoints and intermediate tables; on a cluster the session has to name one that all executors see."""
     global _own_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_root is None:
         _own_root = "file://" + tempfile.mkdtemp(prefix="quillstone-")
     return _own_root
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new, unique folder name below the shared root (not yet created)."""
-    return f"{shared_root(spark)}/quillstone/{name}-{uuid.uuid4().hex}"
+    """A new, unique folder name below the shared root (not yet created); the application's folder goes when its JVM ends."""
+    home = f"{shared_root(spark)}/quillstone/{spark.sparkContext.applicationId}"
+    if home not in _swept:
+        _swept.add(home)
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
 
 
 def remove_dir(spark: SparkSession, path: str) -> None:

@@ -11,6 +11,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -124,9 +125,24 @@ def _column(letters: str) -> int:
     return n
 
 
+def is_date_format(fmt: str) -> bool:
+    """Does a number format show dates or times?  Literals, colours and conditions don't count; elapsed hours do."""
+    code = re.sub(r'"[^"]*"|\\.|_.|\*.', "", fmt)
+    code = re.sub(r"\[(?!(?:h+|m+|s+)\])[^\]]*\]", "", code, flags=re.I)
+    return fmt != "General" and bool(re.search(r"[dmyhs]", code.split(";")[0], re.I))
+
+
+def iso_time(serial: float, epoch: datetime) -> str:
+    """ISO form of a date serial; a part of a day alone is a time."""
+    at = epoch + timedelta(seconds=round(serial * 86_400))
+    return (at.time() if 0 <= serial < 1 else at).isoformat()
+
+
 def parse_xlsx(content: bytes, document_id: str) -> tuple[list[tuple], list[tuple]]:
     """(element rows, cell rows): one table per sheet, its effective region, merges, formulas with cached values, number formats.
 
+    Dates and times come out as ISO text, booleans as True or False.
+
     Leading rows that are one merged cell across the region, and the row after
     them, are header rows.
     """
@@ -138,7 +154,9 @@ def parse_xlsx(content: bytes, document_id: str) -> tuple[list[tuple], list[tupl
     formats = _number_formats(z) if "xl/styles.xml" in names else []
     targets = {x.get("Id"): x.get("Target") for x in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
     elements, cells = [], []
-    for n, sheet in enumerate(ET.fromstring(z.read("xl/workbook.xml")).iter(f"{S}sheet"), 1):
+    book = ET.fromstring(z.read("xl/workbook.xml"))
+    epoch = datetime(1904, 1, 1) if any(p.get("date1904") in ("1", "true") for p in book.iter(f"{S}workbookPr")) else datetime(1899, 12, 30)
+    for n, sheet in enumerate(book.iter(f"{S}sheet"), 1):
         target = targets[sheet.get(f"{R}id")].lstrip("/")
         root = ET.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
         found = {}
@@ -154,7 +172,12 @@ def parse_xlsx(content: bytes, document_id: str) -> tuple[list[tuple], list[tupl
             style = int(c.get("s", "0"))
             number = float(raw) if kind == "n" and raw is not None else None
             formula = "=" + (f.text or "") if f is not None else None
-            found[int(m[2]), _column(m[1])] = (raw, number, formula, formats[style] if style < len(formats) else "General", kind)
+            fmt = formats[style] if style < len(formats) else "General"
+            if number is not None and is_date_format(fmt):
+                raw, number = iso_time(number, epoch), None
+            elif kind == "b" and raw is not None:
+                raw = str(raw == "1")
+            found[int(m[2]), _column(m[1])] = (raw, number, formula, fmt, kind)
             if len(found) > MOST_CELLS:
                 raise ValueError("the sheet has too many cells")
         if not found:
@@ -184,7 +207,7 @@ def parse_xlsx(content: bytes, document_id: str) -> tuple[list[tuple], list[tupl
 
 
 # Built-in number formats.
-_BUILT_IN = {0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 14: "m/d/yyyy", 22: "m/d/yyyy h:mm", 37: "#,##0_);(#,##0)", 38: "#,##0_);[Red](#,##0)", 39: "#,##0.00_);(#,##0.00)", 40: "#,##0.00_);[Red](#,##0.00)", 49: "@"}
+_BUILT_IN = {0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 14: "m/d/yyyy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yyyy h:mm", 37: "#,##0_);(#,##0)", 38: "#,##0_);[Red](#,##0)", 39: "#,##0.00_);(#,##0.00)", 40: "#,##0.00_);[Red](#,##0.00)", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 49: "@"}
 
 
 def _number_formats(z: zipfile.ZipFile) -> list[str]:

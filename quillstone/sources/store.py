@@ -35,11 +35,13 @@ class Store:
         out = self._fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        to = self._path(path)
-        if self._fs.exists(to):
-            self._fs.delete(to, False)
-        if not self._fs.rename(tmp, to):
-            raise OSError(f"can't replace {path}")
+        # one atomic step: a reader finds the old pointer or the new one
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()) if tmp.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.spark.sparkContext._jsc.hadoopConfiguration())
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context.rename(tmp, self._path(path), options)
 
     def current(self) -> dict | None:
         """The published manifest, or None."""

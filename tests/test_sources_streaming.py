@@ -59,6 +59,36 @@ def test_xlsx(files):
     assert c[3, 2].value_double == 0 and c[3, 2].number_format == "0.0%" and c[4, 2].cache_status == "missing" and c[4, 2].formula == "=SUM(C4:C4)"
 
 
+@pytest.mark.parametrize("fmt,want", [("General", False), ("0.00", False), ("m/d/yyyy", True), ('0 "days"', False), ("[Red]0", False), ("[h]:mm", True), ("#,##0_);(#,##0)", False), ("yyyy\\-mm", True), ("0\\d", False)])
+def test_date_formats(fmt, want):
+    assert office.is_date_format(fmt) == want
+
+
+def test_dates_and_booleans(tmp_path):
+    body = '<row r="1"><c r="A1" s="1"><v>44197</v></c><c r="B1" s="1"><v>0.25</v></c><c r="C1" t="b"><v>1</v></c><c r="D1"><v>7</v></c></row><row r="2"><c r="A2"><v>1</v></c></row>'
+    for name, attr in (("a", ""), ("b", ' date1904="1"')):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook {M}><workbookPr{attr}/><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+            z.writestr("xl/styles.xml", f'<styleSheet {M}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+            z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {M}><sheetData>{body}</sheetData></worksheet>")
+    texts = lambda n: [r[6] for r in office.parse_xlsx((tmp_path / n).read_bytes(), "x" * 64)[1]]
+    assert texts("a") == ["2021-01-01T00:00:00", "06:00:00", "True", "7", "1"] and texts("b")[0] == "2025-01-02T00:00:00"
+
+
+def test_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from quillstone import session
+
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    ask = lambda master: session.shared_root(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
+    assert ask("local[4]").startswith("file://")
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            ask(master)
+
+
 def test_zip_guard(monkeypatch, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
         z.writestr("a", "x" * 100)
