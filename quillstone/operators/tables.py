@@ -78,7 +78,7 @@ def bbox_union(boxes: DataFrame, by: list[str], bbox: str = "bbox") -> DataFrame
 
 
 _YEAR = re.compile(r"(?:19|20)\d{2}")
-_VALUE = re.compile(r"\(?[-–]?[$€£]?\s*\d[\d,.]*\)?%?")
+_VALUE = re.compile(r"\(?[-–]?[$€£]?\s*\d[\d,.]*\)?%?|[-–—]")  # a dash alone is nil
 
 
 def _line_groups(items: list[tuple], tolerance: float = 2.5) -> list[list[tuple]]:
@@ -99,8 +99,8 @@ def year_tables(lines: DataFrame, keys: list[str]) -> DataFrame:
     2 to 5 different years more than 12 points apart; rows follow within 45
     points of each other; a value belongs to the year whose right edge is nearest,
     at most 18 points away; a row with a value too far or a year twice is left
-    out, a currency sign up to 24 points left of one value joins it; fewer than 3
-    complete rows make no table.
+    out, as is one whose label has no letter; a dash stands for nil, a currency sign up to 24 points left of one
+    value joins it; fewer than 3 complete rows make no table.
     """
     schema = ", ".join(f"{k} {lines.schema[k].dataType.simpleString()}" for k in keys) + ", table_no int, row_no int, label string, col_no int, year string, value string"
 
@@ -131,7 +131,7 @@ def year_tables(lines: DataFrame, keys: list[str]) -> DataFrame:
                         break
                     near = [s for s in signs if 0 <= x0 - s[1] <= 24]
                     cells[n] = (near[0][2] if len(near) == 1 else "") + t
-                if clear and label and len(cells) == len(years):
+                if clear and any(c.isalpha() for t in label for c in t) and len(cells) == len(years):
                     found.append((" ".join(label), cells))
             if len(found) >= 3:
                 table += 1

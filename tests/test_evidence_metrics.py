@@ -108,6 +108,15 @@ def test_year_table(spark):
     assert len({r.label for r in got}) == 3
 
 
+def test_year_table_with_nil(spark):
+    body = (("Inventories", "2,388", "–"), ("Prepaid", "-", "6,906"), ("Liabilities", "50,171", "47,160"), ("12", "1", "2"))
+    rows = [("d", 200.0, 0.0, 230.0, 10.0, "2022"), ("d", 300.0, 0.0, 330.0, 10.0, "2021")]
+    for i, (label, a, b) in enumerate(body, 1):
+        rows += [("d", 10.0, 12.0 * i, 90.0, 12.0 * i + 10, label), ("d", 195.0, 12.0 * i, 230.0, 12.0 * i + 10, a), ("d", 290.0, 12.0 * i, 330.0, 12.0 * i + 10, b)]
+    got = T.year_tables(spark.createDataFrame(rows, "document_id string, x0 double, y0 double, x1 double, y1 double, text string"), ["document_id"]).collect()
+    assert {(r.label, r.year): r.value for r in got} == {(n, y): v for n, a, b in body[:3] for y, v in (("2022", a), ("2021", b))}
+
+
 def test_heading_paths(spark):
     rows = [("d", 1, 1, "A"), ("d", 2, None, "p"), ("d", 3, 2, "B"), ("d", 4, None, "p"), ("d", 5, 1, "C"), ("d", 6, None, "p")]
     got = T.heading_paths(spark.createDataFrame(rows, "document_id string, ordinal int, level int, text string")).orderBy("ordinal").collect()
