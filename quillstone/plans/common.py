@@ -15,17 +15,17 @@ def once(df: DataFrame, *keys: str) -> DataFrame:
     return df.dropDuplicates(list(keys))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chunk_id, position_no, document_id, page, token_count, title, text, embedding): the chunks whose JSON parses."""
-    v = F.try_parse_json("chunk_json")
-    c = once(table(spark, sf_dir, "chunks"), "chunk_id").withColumn("v", v)
+def corpus(spark: SparkSession, sf_dir: str, asking: bool = False) -> DataFrame:
+    """(chunk_id, position_no, document_id, page, token_count, title, text, embedding): all chunks, or those at a position divisible by 20; title and text where the JSON parses."""
+    t = table(spark, sf_dir, "chunks")
+    c = once(t.where("position_no % 20 = 0") if asking else t, "chunk_id").withColumn("v", F.try_parse_json("chunk_json"))
     get = lambda k: F.try_variant_get("v", f"$.{k}", "string").alias(k)
     return c.select("chunk_id", "position_no", "document_id", "page", "token_count", get("title"), get("text"), "embedding")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, question, qvec): every chunk at a position divisible by 20 asks with its title and its vector."""
-    c = corpus(spark, sf_dir).where("position_no % 20 = 0")
+    c = corpus(spark, sf_dir, asking=True)
     return c.select(F.col("chunk_id").alias("query_id"), F.coalesce("title", F.lit("")).alias("question"), F.col("embedding").alias("qvec"))
 
 

@@ -16,7 +16,7 @@ _int = "cast({} as integer) as {}".format
 
 
 def bm25_terms(s: SparkSession, d: str) -> DataFrame:
-    c = corpus(s, d)
+    c = R.tokenised(corpus(s, d))
     return R.terms(R.postings(c), R.corpus_stats(c).first()["n"]).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
@@ -104,7 +104,7 @@ def mmr_select(s: SparkSession, d: str) -> DataFrame:
 
 def _gold(s: SparkSession, d: str) -> DataFrame:
     """A question's own page is its gold page."""
-    c = corpus(s, d).where("position_no % 20 = 0 and page is not null")
+    c = corpus(s, d, asking=True).where("page is not null")
     return c.select(F.col("chunk_id").alias("query_id"), "document_id", "page")
 
 
