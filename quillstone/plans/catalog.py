@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import evaluation_queries, quantities, retrieval_queries, text_queries
+from quillstone.plans import evaluation_queries, grid_queries, quantities, retrieval_queries, text_queries
 
-_MODULES = [retrieval_queries, text_queries, evaluation_queries, quantities]
+_MODULES = [retrieval_queries, text_queries, evaluation_queries, grid_queries, quantities]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
