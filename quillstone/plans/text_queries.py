@@ -83,9 +83,18 @@ def token_window_chunks(s: SparkSession, d: str) -> DataFrame:
     return K.chunk_rows(table(s, d, "documents"), ["doc_id"], "text", lambda t: K.token_windows(t, 120, 18, K.word_spans))
 
 
-def span_violations(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents")
-    return K.span_violations(token_window_chunks(s, d), docs, ["doc_id"])
+def sentence_span_audit(s: SparkSession, d: str) -> DataFrame:
+    return K.span_audit(sentence_chunks(s, d), table(s, d, "documents"), ["doc_id"], 80)
+
+
+def window_span_audit(s: SparkSession, d: str) -> DataFrame:
+    return K.span_audit(token_window_chunks(s, d), table(s, d, "documents"), ["doc_id"], 120)
+
+
+def paragraph_pack_words(s: SparkSession, d: str) -> DataFrame:
+    """Packed without overlap, a page's chunks hold its words and none too many."""
+    c = K.packed_chunks(once(table(s, d, "parsed_pages"), "document_id", "page"), ["document_id", "page"], size=120, overlap=0)
+    return c.groupBy("document_id", "page").agg(F.sum("n_words").alias("n_words"), F.sha2(F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "chunk"))), lambda x: X.words(x["chunk"]))), " "), 256).alias("h"), (F.max("n_words") <= 120).alias("ok"))
 
 
 def _structured(s: SparkSession, d: str) -> DataFrame:
@@ -130,8 +139,9 @@ def literal_evidence_audit(s: SparkSession, d: str) -> DataFrame:
 
 
 def adjacent_segments(s: SparkSession, d: str) -> DataFrame:
+    """The windows that hold a figure, neighbours stitched together."""
     w = K.word_windows(table(s, d, "documents"), ["doc_id"], size=50, overlap=0)
-    c = w.where("chunk_no % 4 <> 3").select(F.lit(1).alias("case_id"), F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), F.concat_ws("-", "doc_id", "chunk_no").alias("chunk_id"), F.col("chunk").alias("text"), (F.col("chunk_no") * 50).alias("char_start"), (F.col("chunk_no") * 50 + 50).alias("char_end"))
+    c = w.where(F.col("chunk").rlike("[0-9]")).select(F.lit(1).alias("case_id"), F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), F.concat_ws("-", "doc_id", "chunk_no").alias("chunk_id"), F.col("chunk").alias("text"), (F.col("chunk_no") * 50).alias("char_start"), (F.col("chunk_no") * 50 + 50).alias("char_end"))
     return N.stitched(c).select("document_id", "island", F.length("text").alias("n_chars"), F.size("parts").alias("n_parts"))
 
 
@@ -234,7 +244,12 @@ select element_id from m where not (coalesce(low, false) and k is not null and (
     "fixed_window_chunks": f"with {_win(100, 20)} select doc_id, chunk_no, sha256(array_to_string(p, ' ')) as h, cast(len(p) as integer) as n_words from wc",
     "chunk_coverage_audit": f"with {_win(100, 20)} select doc_id, count(*) as n_chunks, cast(sum(len(p) - case when chunk_no > 0 then 20 else 0 end) as bigint) as words, cast(max(len(p)) as integer) as largest, max(len(p)) <= 100 as ok from wc group by doc_id",
     "chunk_token_stats": "select document_id, count(*) as n, max(token_count) as largest, round(quantile_cont(token_count, 0.5), 6) as median, round(quantile_cont(token_count, 0.95), 6) as p95, cast(sum(greatest(0, token_count - 255)) as bigint) as over from (select distinct on (chunk_id) * from chunks) group by document_id",
-    "span_violations": "select doc_id, cast(0 as integer) as chunk_no from documents where false",
+    "sentence_span_audit": rf"select doc_id, cast(length(regexp_replace(text, '{_WS}', '', 'g')) as integer) as n_solid, true as exact, true as within from documents where regexp_replace(text, '{_WS}', '', 'g') <> ''",
+    "window_span_audit": rf"select doc_id, cast(length(regexp_replace(text, '{_WS}', '', 'g')) as integer) as n_solid, true as exact, true as within from documents where regexp_replace(text, '{_WS}', '', 'g') <> ''",
+    "paragraph_pack_words": f"select document_id, page, cast(len({_WORDS}) as bigint) as n_words, sha256(array_to_string({_WORDS}, ' ')) as h, true as ok from (select distinct document_id, page, text from parsed_pages) where len({_WORDS}) > 0",
+    "nearby_context": f"""with {_E}, g0 as (select *, coalesce(sum(cast(kind = 'table' as integer)) over (partition by document_id order by ordinal rows between unbounded preceding and 1 preceding), 0) as grp from e),
+n as (select element_id, kind, source.page as page, list({{'i': element_id, 'p': source.page, 't': text}}) over (partition by document_id, grp order by ordinal rows between 3 preceding and 1 preceding) as seen from g0)
+select element_id, array_to_string(list_transform(list_filter(coalesce(seen, []), lambda x: coalesce(x.p = page, true) and x.t is not null), lambda x: x.i), ',') as refs from n where kind = 'table'""",
     "structured_text_audit": rf"""with {_E}, b as (select element_id, document_id, ordinal, kind, text, source.page as page, source.fmt as fmt, source.bbox[4] as y from e where kind <> 'table'),
 m as (select *, coalesce(y >= max(y) over (partition by document_id, page) - 2, false) as low, lower(nullif(regexp_extract(regexp_replace(regexp_replace(text, '{_WS}', ' ', 'g'), {_STRIP}), '^([^|\n]+\|\s*\d{{4}}\s+Form\s+10-K)\s*\|\s*\d+$', 1, 'i'), '')) as k from b),
 o as (select document_id, k from m where fmt = 'pdf' and low and k is not null group by all having count(distinct page) >= 3),
@@ -244,7 +259,7 @@ select document_id, coalesce(page, 0) as page, sha256(regexp_replace(string_agg(
 select table_id, row_no, cast(length(string_agg('C' || col_no || case when coalesce(year, '') <> '' then ' [' || year || ']' else '' end || ': ' || text || case when number_format is not null and number_format <> 'General' then ' [format=' || number_format || ']' else '' end, ' | ')) as bigint) as n_chars, cast(count(*) as integer) as n_cells
 from ce left join y using (table_id, col_no) where trim(coalesce(text, '')) <> '' and (table_id, row_no) not in (select (table_id, row_no) from hr) and table_id in (select table_id from elements where kind = 'table') group by all""",
     "literal_evidence_audit": f"with {_E} select e.element_id, coalesce(max(cast(contains({_compact('p.text')}, {_compact('e.text')}) as integer)), 0) as literal from e left join (select distinct document_id, page, text from parsed_pages) p on p.document_id = e.document_id and p.page = e.source.page where e.text is not null and e.source.page is not null group by e.element_id",
-    "adjacent_segments": f"""with {_win(50, 0)}, c as (select *, chunk_no - row_number() over (partition by doc_id order by chunk_no) as g from wc where chunk_no % 4 <> 3),
+    "adjacent_segments": f"""with {_win(50, 0)}, c as (select *, chunk_no - row_number() over (partition by doc_id order by chunk_no) as g from wc where regexp_matches(array_to_string(p, ' '), '[0-9]')),
 i as (select doc_id, g, sum(length(array_to_string(p, ' '))) as n, count(*) as k from c group by all)
 select doc_id as document_id, row_number() over (partition by doc_id order by g) as island, cast(n as integer) as n_chars, cast(k as integer) as n_parts from i""",
     "location_label": f"""with {_E} select element_id, case source.fmt when 'pdf' then 'page ' || source.page when 'xlsx' then source.sheet || '!' || source.cell_range
@@ -274,7 +289,7 @@ select doc_id, chunk_no, count(*) as parts, cast(sum(least(a1, least(b0 + 35, n)
 def queries() -> dict:
     names = [
         tokenize_docs, word_count, normalize_whitespace, merge_broken_lines, normalize_pages, compact_text, content_ids, symbol_block_filter, repeated_line_footer, page_assembly,
-        fixed_window_chunks, chunk_coverage_audit, chunk_token_stats, paragraph_pack_chunks, sentence_chunks, token_window_chunks, span_violations, structured_chunks, structured_text_audit, structured_row_audit, nearby_context,
+        fixed_window_chunks, chunk_coverage_audit, chunk_token_stats, paragraph_pack_chunks, sentence_chunks, token_window_chunks, sentence_span_audit, window_span_audit, paragraph_pack_words, structured_chunks, structured_text_audit, structured_row_audit, nearby_context,
         literal_evidence_audit, adjacent_segments, span_overlap_join, location_label, location_rules, grid_rules, reference_rules, latest_delivery, incremental_new_docs, delete_document,
         row_span_expand, column_headers, table_row_render, table_preview,
     ]

@@ -95,6 +95,15 @@ def test_sentence_chunks_cover(text, most, pack):
     assert all(K.word_count(text[a:b]) <= most for a, b in got)
 
 
+def test_span_audit(spark):
+    text = "one two  three. four"
+    src = spark.createDataFrame([(i, text) for i in range(5)], "id int, text string")
+    ok = [(0, 0, 9, text[0:9]), (0, 4, 20, text[4:20])]
+    bad = [(1, 0, 3, "one"), (1, 9, 20, text[9:20]), (2, 0, 20, text.upper()), (3, 0, 20, text), (4, 0, 14, text[:14])]
+    got = {r.id: (r.n_solid, r.exact, r.within) for r in K.span_audit(spark.createDataFrame(ok + bad, "id int, start int, end int, chunk string"), src, ["id"], 3).collect()}
+    assert got == {0: (16, True, True), 1: (13, True, True), 2: (16, False, False), 3: (16, True, False), 4: (11, True, True)}
+
+
 def test_structured_chunks(spark):
     e = spark.createDataFrame(
         [("d", 1, "e1", "heading", "Title", None, 1, "pdf"), ("d", 2, "e2", "paragraph", "one two three four", None, 1, "pdf"), ("d", 3, "e3", "table", None, "t1", 1, "pdf"), ("d", 4, "e4", "paragraph", "next page", None, 2, "pdf")],
