@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import boilerplate, encoding, mixing, neighbours, packing, split, visual
@@ -44,6 +44,21 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_oversized(_items(spark, sf_dir), ["item_kind", "item_id"])
 
 
+def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item: its pieces together are the whole text, none is above 2,000 characters, and none shares more than 200 with the one before."""
+    p = p2_pieces(spark, sf_dir)
+    shared = F.coalesce(F.lag("end").over(Window.partitionBy("item_kind", "item_id").orderBy("piece_no")) - F.col("start"), F.lit(0))
+    p = p.select("item_kind", "item_id", "start", "end", F.length("piece").alias("n"), shared.alias("shared"))
+    fresh = F.sum(F.col("end") - F.col("start") - F.col("shared")).alias("n_chars")
+    return p.groupBy("item_kind", "item_id").agg(fresh, (F.max("n") <= 2000).alias("within"), ((F.min("shared") >= 0) & (F.max("shared") <= 200)).alias("joined"))
+
+
+P2_COVERAGE = """
+with t as (select distinct 'element' as item_kind, element_id as item_id, text from elements
+           union select 'chunk', chunk_id, json_extract_string(chunk_json, '$.text') from chunks where json_valid(chunk_json))
+select item_kind, item_id, cast(length(text) as bigint) as n_chars, true as within, true as joined from t where text <> ''
+"""
+
 P2_FOUND = """
 select 'element' as item_kind, element_id as item_id from elements where length(text) > 2000
 union
@@ -98,6 +113,16 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_containers(_t(spark, sf_dir, "documents"))
 
 
+def p6_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Are all documents with text placed, is no container overfull, is only what exceeds one split, and are places and parts without gaps?"""
+    c = p6_containers(spark, sf_dir)
+    boxes = c.groupBy("container").agg(F.sum("tokens").alias("fill"), F.max("place").alias("last"), F.count("*").alias("n"))
+    docs = c.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("parts"), F.max(F.col("start") + F.col("tokens")).alias("end"))
+    all_boxes = boxes.agg((F.max("fill") <= 1024).alias("fits"), F.bool_and(F.col("last") == F.col("n")).alias("places"))
+    all_docs = docs.agg(F.count("*").alias("n_docs"), F.bool_and((F.col("parts") == 1) | (F.col("tokens") > 1024)).alias("whole"), F.bool_and(F.col("end") == F.col("tokens")).alias("complete"))
+    return all_docs.join(all_boxes)
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chosen documents with their repeat counts, each with its source's target and actual share."""
     chosen, shares = mixing.draw_mix(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_targets"))
@@ -128,28 +153,49 @@ where regexp_matches(text, '[\x{FF01}-\x{FF5E}\x{2011}\x{132}\x{133}\x{1C4}-\x{1
 """
 
 
-P3_FOUND = r"""
+_P3 = r"""
 with e as (select distinct element_id, document_id, source.page as page, text from elements where source.page is not null and text is not null),
 l as (select element_id, document_id, page, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from e),
 k as (select element_id, document_id, page, line_no,
              trim(regexp_replace(regexp_replace(replace(lower(line), 'ς', 'σ'), '[\s\x{85}\p{Z}\v]+', ' ', 'g'), '\p{Nd}+', '0', 'g')) as k
       from l where length(regexp_replace(line, '\P{L}+', '', 'g')) >= 12),
 n as (select document_id, k from k group by all having count(distinct page) >= 5)
-select distinct element_id, cast(line_no as integer) as line_no from k join n using (document_id, k)
 """
 
+P3_FOUND = _P3 + "select distinct element_id, cast(line_no as integer) as line_no from k join n using (document_id, k)"
+P3_ELEMENTS = _P3 + """, f as (select element_id, list(distinct line_no) as gone from k join n using (document_id, k) group by element_id),
+a as (select distinct element_id, document_id, text from elements)
+select a.element_id, document_id, case when gone is null then text else array_to_string(list_transform(list_filter(list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1)), lambda x: not list_contains(gone, x[2])), lambda x: x[1]), chr(10)) end as text
+from a left join f using (element_id)"""
+P3_PAGES = _P3 + r""", pg as (select distinct document_id, page, text from parsed_pages),
+pl as (select document_id, page, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from pg where text is not null),
+pk as (select document_id, page, line_no, trim(regexp_replace(regexp_replace(replace(lower(line), 'ς', 'σ'), '[\s\x{85}\p{Z}\v]+', ' ', 'g'), '\p{Nd}+', '0', 'g')) as k from pl where length(regexp_replace(line, '\P{L}+', '', 'g')) >= 12),
+f as (select document_id, page, list(distinct line_no) as gone from pk join n using (document_id, k) group by all)
+select pg.document_id, pg.page, case when gone is null then text else array_to_string(list_transform(list_filter(list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1)), lambda x: not list_contains(gone, x[2])), lambda x: x[1]), chr(10)) end as text
+from pg left join f using (document_id, page)"""
+
+P1_FOUND = """
+with v as (select chunk_id, list_transform(embedding, lambda x: cast(x as double)) as v from (select distinct on (chunk_id) chunk_id, embedding from chunks) where embedding is not null and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (select a.chunk_id as a, b.chunk_id as b, list_cosine_similarity(a.v, b.v) as c from v a join v b on a.chunk_id <> b.chunk_id),
+t as (select a, b, c from s qualify row_number() over (partition by a order by round(c, 9) desc, b) <= 10)
+select x.a as chunk_id_a, x.b as chunk_id_b from t x join t y on x.a = y.b and x.b = y.a where x.a < x.b and x.c >= 0.9
+"""
+
+P6_AUDIT = "select count(distinct doc_id) as n_docs, true as whole, true as complete, true as fits, true as places from documents where text <> ''"
+
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found, "p1_neighbours": p1_neighbours,
-        "p2_found": p2_found, "p2_pieces": p2_pieces,
+        "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_coverage": p2_coverage,
         "p3_found": p3_found, "p3_elements": p3_elements, "p3_pages": p3_pages, "p3_blocks": p3_blocks,
         "p5_found": p5_found, "p5_forms": p5_forms,
-        "p6_containers": p6_containers,
+        "p6_containers": p6_containers, "p6_audit": p6_audit,
         "p7_mix": p7_mix, "p7_shares": p7_shares,
         "p8_found": p8_found, "p8_restored": p8_restored,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p5_found": P5_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_coverage": P2_COVERAGE, "p3_found": P3_FOUND, "p3_elements": P3_ELEMENTS, "p3_pages": P3_PAGES, "p5_found": P5_FOUND, "p6_audit": P6_AUDIT}
