@@ -14,12 +14,12 @@ TO_LATIN = {ord(k): v for k, v in (CYRILLIC | GREEK).items()}
 _BACK_CYRILLIC = {ord(v): k for k, v in reversed(CYRILLIC.items())}
 _BACK_GREEK = {ord(v): k for k, v in reversed(GREEK.items())}
 
-_FORMAT = regex.compile(r"\p{Cf}")
-_SPACES = regex.compile(r"[\p{Zs}--[ ]]", regex.V1)
-_FULL = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
-_MARKED = regex.compile(r"\p{L}\p{M}+")
-_WORD = regex.compile(r"[\p{L}\p{M}]+")
-_LATIN, _OTHER = regex.compile(r"\p{Latin}"), regex.compile(r"[\p{Cyrillic}\p{Greek}]")
+FORMAT = regex.compile(r"\p{Cf}")
+SPACES = regex.compile(r"[\p{Zs}--[ ]]", regex.V1)
+FULL = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
+MARKED = regex.compile(r"\p{L}\p{M}+")
+WORD = regex.compile(r"[\p{L}\p{M}]+")
+LATIN, OTHER = regex.compile(r"\p{Latin}"), regex.compile(r"[\p{Cyrillic}\p{Greek}]")
 
 
 def _joined() -> dict[int, str]:
@@ -39,37 +39,24 @@ JOINED = _joined()
 
 def unmix(word: str) -> str:
     """A word of Latin letters and look-alikes of another script in one script; other words unchanged."""
-    if not (_LATIN.search(word) and _OTHER.search(word)):
+    if not (LATIN.search(word) and OTHER.search(word)):
         return word
-    if all(ord(c) in TO_LATIN for c in _OTHER.findall(word)):
+    if all(ord(c) in TO_LATIN for c in OTHER.findall(word)):
         return word.translate(TO_LATIN)
     for back in (_BACK_CYRILLIC, _BACK_GREEK):
-        if all(ord(c) in back for c in _LATIN.findall(word)):
+        if all(ord(c) in back for c in LATIN.findall(word)):
             return word.translate(back)
     return word.translate(TO_LATIN)
 
 
 def composed(text: str) -> str:
     """Letters with their accents in one character where one exists."""
-    return _MARKED.sub(lambda m: unicodedata.normalize("NFC", m[0]), text)
+    return MARKED.sub(lambda m: unicodedata.normalize("NFC", m[0]), text)
 
 
 def one_form(text: str) -> str:
     """Full-width forms, spaces, joined letters and hyphens in their plain form, no invisible characters, accents composed, mixed words in one script."""
     if text.isascii():
         return text
-    t = _SPACES.sub(" ", _FORMAT.sub("", text.translate(_FULL).translate(JOINED).replace("‑", "-")))
-    return _WORD.sub(lambda m: unmix(m[0]), composed(t))
-
-
-def has_variant(text: str) -> bool:
-    """Does the text hold a full-width ASCII form, an invisible format character, a space other than U+0020, an
-    accent stored apart from its letter though one character exists, joined Latin letters, a non-breaking hyphen,
-    or a word that mixes Latin with Cyrillic or Greek letters?"""
-    if text.isascii():
-        return False
-    if _FORMAT.search(text) or _SPACES.search(text) or any(ord(c) in _FULL or ord(c) in JOINED or c == "‑" for c in text):
-        return True
-    if any(len(unicodedata.normalize("NFC", m)) < len(m) for m in _MARKED.findall(text)):
-        return True
-    return any(_LATIN.search(w) and _OTHER.search(w) for w in _WORD.findall(text))
+    t = SPACES.sub(" ", FORMAT.sub("", text.translate(FULL).translate(JOINED).replace("‑", "-")))
+    return WORD.sub(lambda m: unmix(m[0]), composed(t))

@@ -99,6 +99,23 @@ def distinct_queries(plans: DataFrame, key: str = "session", query: str = "query
     return plans.withColumn("k__", k).where("k__ <> ''").withColumn("n__", F.row_number().over(w)).where("n__ = 1").drop("k__", "n__")
 
 
+def planned_queries(plans: DataFrame, most: int | None = None, key: str = "session") -> DataFrame:
+    """(session, queries, fell_back): the queries a planning model's reply names, else the question itself.
+
+    ``plans``: (session, question, reply).  A reply counts if it is a JSON object
+    with nothing but a list ``queries`` of 1 to ``most`` texts, none of them blank
+    or above 4,000 characters; repeats up to case and white space are dropped.
+    """
+    v = F.try_parse_json("reply")
+    q = F.try_variant_get(v, "$.queries", "array<string>")
+    fit = (F.schema_of_variant(v) == "OBJECT<queries: ARRAY<STRING>>") & (F.size(q) >= 1) & F.forall(q, lambda x: (X.strip(x) != "") & (F.length(x) <= 4_000))
+    fit = F.coalesce(fit if most is None else fit & (F.size(q) <= most), F.lit(False))
+    keys = F.transform("q__", X.compact)
+    first = F.filter(F.transform("q__", X.strip), lambda x, i: F.array_position("k__", F.element_at("k__", i + 1)) == i + 1)
+    p = plans.select(key, "question", fit.alias("fit__"), F.when(fit, q).alias("q__")).withColumn("k__", keys)
+    return p.select(key, F.when(F.col("fit__"), first).otherwise(F.array("question")).alias("queries"), (~F.col("fit__")).alias("fell_back"))
+
+
 def lru(runs: DataFrame, n: int = 5, key: str = "session", at: str = "ts", tie: str = "run_id") -> DataFrame:
     """The ``n`` latest runs of a session."""
     return runs.withColumn("n__", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at), F.desc(tie)))).where(F.col("n__") <= n).drop("n__")

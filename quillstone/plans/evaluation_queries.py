@@ -9,6 +9,7 @@ from quillstone.functions import text as X
 from quillstone.operators import evidence as E
 from quillstone.operators import metrics as M
 from quillstone.plans.common import once, table
+from quillstone.sources import uploads as U
 from quillstone.streaming import events as S
 
 
@@ -86,6 +87,25 @@ def query_plan_dedup(s: SparkSession, d: str) -> DataFrame:
     return E.distinct_queries(p).select("session", "pos", "query")
 
 
+def query_plan_fallback(s: SparkSession, d: str) -> DataFrame:
+    """A document's section titles as a model's reply: more than four fall back on the question."""
+    p = once(table(s, d, "parsed_pages"), "document_id", "page").where("section is not null").groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("page", "section"))).alias("g"))
+    reply = F.to_json(F.struct(F.transform("g", lambda x: x["section"]).alias("queries")))
+    plans = p.select(F.col("document_id").alias("session"), F.substring("document_id", 1, 12).alias("question"), reply.alias("reply"))
+    return E.planned_queries(plans, 12).select("session", F.array_join("queries", "|").alias("queries"), "fell_back")
+
+
+def event_heartbeats(s: SparkSession, d: str) -> DataFrame:
+    """A heartbeat for every whole day a user is silent between two events."""
+    return S.idle_gaps(table(s, d, "events"), "1 day", "user_id").groupBy("user_id").agg(F.count("*").alias("gaps"), F.sum("heartbeats").alias("heartbeats"))
+
+
+def upload_rules(s: SparkSession, d: str) -> DataFrame:
+    """Library documents as uploads: formats and sizes that may not come in."""
+    u = table(s, d, "library_documents").select(F.col("file_name").alias("name"), F.col("doc_format").alias("fmt"), F.col("size_bytes").alias("size"), "document_id")
+    return U.violations(u, u.limit(0)).select(F.coalesce("name", F.lit("upload")).alias("name"), "rule").groupBy("rule").agg(F.count("*").alias("n"))
+
+
 def quota_split(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "library_documents").select("document_id", "n_tables").where("n_tables > 0")
     q = p.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_tables") - 1)))
@@ -150,6 +170,9 @@ SQL = {
     "conversation_window": f"with {_T}, x as (select *, row_number() over (partition by conv_id order by turn desc) as b from t), y as (select *, sum(length(text)) over (partition by conv_id order by turn desc) as r from x where b <= 5) select conv_id, turn, text from y where r <= 80",
     "conversation_budget": rf"with {_T}, x as (select conv_id, turn, regexp_replace(text, '\[E\d+\]', '', 'g') as clean from t), y as (select *, cast(sum(length(clean)) over w + 2 * (count(*) over w - 1) + 2 as bigint) as size from x window w as (partition by conv_id order by turn desc)) select * from y where size <= 200",
     "query_plan_dedup": "select document_id as session, page as pos, ' ' || upper(section) as query from (select distinct document_id, page, section from parsed_pages where section is not null) qualify row_number() over (partition by document_id, lower(regexp_replace(trim(upper(section)), '\\s+', ' ', 'g')) order by page) = 1".replace("\\\\", "\\"),
+    "query_plan_fallback": r"with p as (select document_id, page, section from (select distinct on (document_id, page) * from parsed_pages) where section is not null), n as (select *, count(*) over (partition by document_id) as n, row_number() over (partition by document_id, lower(regexp_replace(trim(section), '\s+', ' ', 'g')) order by page) as first from p) select document_id as session, case when max(n) > 12 then document_id[1:12] else string_agg(trim(section), '|' order by page) filter (first = 1) end as queries, max(n) > 12 as fell_back from n group by document_id",
+    "event_heartbeats": "with g as (select user_id, epoch_us(lead(ts) over (partition by user_id order by ts)) - epoch_us(ts) as gap from events), h as (select user_id, (gap - 1) // 86400000000 as n from g where gap > 86400000000) select user_id, count(*) as gaps, cast(sum(n) as bigint) as heartbeats from h group by user_id",
+    "upload_rules": "with r as (select case when doc_format not in ('pdf', 'docx', 'xlsx') then 'unknown format' when size_bytes < 1 then 'empty' when size_bytes > 20971520 then 'too large' end as rule from library_documents union all select case when count(*) > 10 then 'too many files' end from library_documents union all select case when sum(size_bytes) > 104857600 then 'too much in total' end from library_documents union all select case when count(distinct document_id) > 10 then 'library too large' end from library_documents) select rule, count(*) as n from r where rule is not null group by rule",
     "quota_split": "select document_id, i, cast(20 // n_tables + cast(i < 20 % n_tables as integer) as integer) as places from (select document_id, n_tables, cast(unnest(range(0, n_tables)) as integer) as i from library_documents where n_tables > 0)",
     "run_snapshot_lru": "select user_id as session, event_id as run_id from events where event_type = 'purchase' qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 5",
     "event_stream_fold": f"with {_S}, r as (select *, coalesce(max(seq) filter (type = 'answer_reset') over (partition by request_id), -1) as reset from s) select request_id, coalesce(string_agg(text, '' order by seq) filter (type = 'answer_delta' and seq > reset), '') as answer, max(cast(type = 'done' as integer)) as done, count(*) as n_events from r group by request_id",
@@ -165,7 +188,7 @@ SQL = {
 def queries() -> dict:
     names = [
         metric_aggregate, cohort_rollup, latency_percentiles, distribution_counts, paired_delta, bootstrap_ci, config_promotion, revenue_by_nation, stratified_screen, quota_sample,
-        conversation_window, conversation_budget, query_plan_dedup, quota_split, run_snapshot_lru, event_stream_fold, tool_argument_assembly, event_tumbling, event_sessions, event_dedup,
+        conversation_window, conversation_budget, query_plan_dedup, query_plan_fallback, event_heartbeats, upload_rules, quota_split, run_snapshot_lru, event_stream_fold, tool_argument_assembly, event_tumbling, event_sessions, event_dedup,
         json_fields, vector_audit,
     ]
     return {f.__name__: f for f in names}

@@ -83,6 +83,40 @@ def stream_answers(events: DataFrame, idle: str = "1 hour") -> DataFrame:
     return events.groupBy("request_id").applyInPandasWithState(fold, out, state, "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def idle_gaps(events: DataFrame, every: str = "1 second", by: str = "request_id") -> DataFrame:
+    """(by, ts, heartbeats): events of a table after which nothing came for ``every`` or longer, and how many heartbeats fill the gap."""
+    w = Window.partitionBy(by).orderBy("ts")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = F.lead(at).over(w) - at
+    amount, unit = every.split()
+    step = int(amount) * {"second": 1, "minute": 60, "hour": 3_600, "day": 86_400}[unit.rstrip("s")] * 1_000_000
+    # a heartbeat is due at every whole step before the next event
+    return events.select(by, "ts", F.floor((gap - 1) / F.lit(step)).alias("heartbeats")).where("heartbeats > 0")
+
+
+def with_heartbeats(events: DataFrame, idle_ms: int = 1_000) -> DataFrame:
+    """A stream's events, and a ``heartbeat`` whenever a request that isn't finished has been silent for ``idle_ms`` of processing time."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def beat(key: tuple, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
+        if st.hasTimedOut:
+            st.setTimeoutDuration(idle_ms)
+            yield pd.DataFrame({"request_id": [key[0]], "seq": [None], "type": ["heartbeat"], "text": [None]}).astype({"seq": "Int64"})
+            return
+        over = False
+        for pdf in batches:
+            over |= bool(pdf["type"].isin(["done", "error"]).any())
+            yield pdf[["request_id", "seq", "type", "text"]].astype({"seq": "Int64"})
+        if over:
+            if st.exists:
+                st.remove()
+        else:
+            st.update((1,))
+            st.setTimeoutDuration(idle_ms)
+
+    return events.groupBy("request_id").applyInPandasWithState(beat, "request_id string, seq bigint, type string, text string", "open int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def tool_arguments(parts: DataFrame) -> DataFrame:
     """(request_id, call_index, arguments, complete): streamed argument parts joined by seq; complete once a finish event is there."""
     got = F.sort_array(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("seq", "part"))))

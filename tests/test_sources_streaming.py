@@ -1,11 +1,13 @@
 """Office sources, store, event streams."""
 
 import json
+import time
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillstone.sources import office, store
+from quillstone.sources import office, store, uploads
 from quillstone.streaming import events as S
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -137,3 +139,42 @@ def test_tool_arguments(spark):
     df = spark.createDataFrame([("r", 0, 2, '"revenue"}', False), ("r", 0, 1, '{"query":', False), ("r", 0, 3, None, True), ("r", 1, 4, "{", False)], "request_id string, call_index int, seq int, part string, finished boolean")
     got = {r.call_index: (r.arguments, r.complete) for r in S.tool_arguments(df).collect()}
     assert got == {0: ('{"query":"revenue"}', True), 1: ("{", False)}
+
+
+def test_uploads(spark):
+    ddl = "name string, fmt string, size bigint, document_id string"
+    library = spark.createDataFrame([(f"L{i}",) for i in range(9)], "document_id string")
+    ok = spark.createDataFrame([("b.pdf", "pdf", 5, "n1"), ("a.pdf", "pdf", 5, "n1"), ("c.docx", "docx", 7, "L3")], ddl)
+    assert [(r.document_id, r.name) for r in uploads.accepted(ok, library).collect()] == [("n1", "a.pdf")]
+    bad = spark.createDataFrame([("x.txt", "txt", 5, "1"), ("e.pdf", "pdf", 0, "2"), *((f"{i}.pdf", "pdf", 21 * 1024**2, f"3{i}") for i in range(9))], ddl)
+    got = {(r.name, r.rule) for r in uploads.violations(bad, library).collect()}
+    assert {("x.txt", "unknown format"), ("e.pdf", "empty"), ("0.pdf", "too large"), (None, "too many files"), (None, "too much in total"), (None, "library too large")} <= got
+    assert {r.rule for r in uploads.violations(bad.limit(0), library).collect()} == {"no file"}
+    with pytest.raises(ValueError, match="unknown format"):
+        uploads.accepted(bad, library)
+    f = spark.createDataFrame([("/in/My Report.PDF", bytearray(b"abc"))], "path string, content binary")
+    r = uploads.described(f).first()
+    assert (r.name, r.fmt, r.size, len(r.document_id)) == ("My Report.PDF", "pdf", 3, 64)
+
+
+def test_idle_gaps(spark):
+    df = spark.createDataFrame([("r", f"2024-01-01 00:00:{s}") for s in ("00", "01", "04.5", "05")] + [("s", "2024-01-01 00:00:00")], "request_id string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    assert [(r.request_id, r.heartbeats) for r in S.idle_gaps(df).collect()] == [("r", 3)]
+
+
+def test_heartbeats(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    put = lambda n, *rows: (src / f"{n}.json").write_text("\n".join(json.dumps({"request_id": a, "seq": b, "ts": "2024-01-01T00:00:00", "type": c}) for a, b, c in rows))
+    put(0, ("open", 1, "progress"), ("shut", 1, "progress"), ("shut", 2, "done"))
+    q = S.with_heartbeats(S.read_events(spark, str(src)), 200).writeStream.outputMode("append").format("json").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="300 milliseconds").start(str(out))
+    try:
+        got = set()
+        for _ in range(90):
+            time.sleep(1)
+            got = {(r.request_id, r.type) for r in spark.read.schema("request_id string, type string").json(str(out)).collect()} if any(out.glob("*.json")) else set()
+            if ("open", "heartbeat") in got:
+                break
+    finally:
+        q.stop()
+    assert got == {("open", "progress"), ("shut", "progress"), ("shut", "done"), ("open", "heartbeat")}
