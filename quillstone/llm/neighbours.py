@@ -33,10 +33,11 @@ TREE_DIMS = 6  #: of these, the tree's dimensions
 LEAF = 512  #: most rows of a leaf
 BLOCK = 32_768  #: most rows of a block
 SAMPLE = 65_536  #: bound of the sample the tree's upper levels are fitted on
+HOT = 100  #: a vector whose copies are more than 1/HOT of the rows is hot, so there are fewer than HOT
 SEED = 20_240_607
 
 PAIR_SCHEMA = "h1 bigint, h2 bigint, nh1 bigint, nh2 bigint, cosine double"
-BLOCK_SCHEMA = "block int, n int, h bigint, keys binary, isq binary, vec binary, proj binary, leaves array<int>, lo binary, hi binary"
+BLOCK_SCHEMA = "block int, n int, h bigint, keys binary, isq binary, vec binary, proj binary, leaves array<int>, lo binary, hi binary, block_lo binary, block_hi binary"
 
 
 def chi2_cdf(x: float, m: int) -> float:
@@ -175,6 +176,7 @@ def _pack(tree, dim: int):
                 "block": at * 10_000 + seq - 1, "n": len(pdf), "h": int(pdf["isq"].sum()), "keys": keys.tobytes(),
                 "isq": pdf["isq"].to_numpy("u1")[order].tobytes(), "vec": v[order].tobytes(), "proj": p[order].tobytes(),
                 "leaves": np.array([len(i) for i in leaves], "i4"), "lo": lo.astype("f4").tobytes(), "hi": hi.astype("f4").tobytes(),
+                "block_lo": lo.min(0).astype("f4").tobytes(), "block_hi": hi.max(0).astype("f4").tobytes(),
             }])
 
         for pdf in batches:
@@ -346,9 +348,10 @@ def most_similar(
         .mapInPandas(_pack(tree, dim), BLOCK_SCHEMA)
     )
     packed.write.partitionBy("block").parquet(f"{where}/blocks")
-    boxes = spark.read.parquet(f"{where}/blocks").select("block", "h", "lo", "hi").orderBy("block").collect()
-    los = np.stack([np.frombuffer(r["lo"], "f4").reshape(-1, td).min(0) for r in boxes])
-    his = np.stack([np.frombuffer(r["hi"], "f4").reshape(-1, td).max(0) for r in boxes])
+    # one box of TREE_DIMS numbers a block, of some 16,000 vectors
+    boxes = spark.read.parquet(f"{where}/blocks").select("block", "h", "block_lo", "block_hi").orderBy("block").collect()
+    los = np.stack([np.frombuffer(r["block_lo"], "f4") for r in boxes])
+    his = np.stack([np.frombuffer(r["block_hi"], "f4") for r in boxes])
     asking = [r["block"] for r in boxes if r["h"] > 0]
     # a block's queries are further cut so that few blocks still use every core
     d2_most = 4.0 if min_cosine is None else max(0.0, 2 - 2 * min_cosine)
@@ -361,6 +364,10 @@ def most_similar(
     return _expand(base, spark.read.schema(PAIR_SCHEMA).parquet(f"{where}/found"), k, min_cosine)
 
 
+def _hash_pairs(df: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    return df.sparkSession.createDataFrame(pairs, "h1 bigint, h2 bigint")
+
+
 def _expand(base: DataFrame, found: DataFrame, k: int, min_cosine: float | None) -> DataFrame:
     """From representatives back to rows: copies are neighbours at cosine 1, and a neighbour stands for its copies."""
     members = base.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h"), F.max("isq").alias("isq")).select("id", "isq", "h.h1", "h.h2")
@@ -373,7 +380,17 @@ def _expand(base: DataFrame, found: DataFrame, k: int, min_cosine: float | None)
     near = copies.unionByName(others).withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(*order))).where(F.col("n") <= 2 * k + 1)
     lists = near.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("n", "neighbour", "cosine"))).alias("near"))
     mine = F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("id")), 1, k)
-    rows = members.where("isq").join(lists, ["h1", "h2"]).select("id", F.posexplode(mine).alias("p", "x"))
+    asking = members.where("isq").select("id", "h1", "h2")
+    # copies of one vector may be a third of all rows: theirs, fewer than HOT lists of at most 2k + 1, go to the rows
+    total = base.count()
+    hot = heads.where(F.col("n") == k + 1).select("h1", "h2").join(members.groupBy("h1", "h2").agg(F.count("*").alias("copies")), ["h1", "h2"]).where(F.col("copies") * HOT > total).select("h1", "h2")
+    pairs = [(r["h1"], r["h2"]) for r in hot.collect()]
+    if pairs:
+        hot = _hash_pairs(base, pairs)
+        paired = asking.join(F.broadcast(lists.join(F.broadcast(hot), ["h1", "h2"], "left_semi")), ["h1", "h2"]).unionByName(asking.join(F.broadcast(hot), ["h1", "h2"], "left_anti").join(lists, ["h1", "h2"]))
+    else:
+        paired = asking.join(lists, ["h1", "h2"])
+    rows = paired.select("id", F.posexplode(mine).alias("p", "x"))
     out = rows.select("id", F.col("x.neighbour").alias("neighbour"), (F.col("p") + 1).cast("int").alias("rank"), F.col("x.cosine").alias("cosine"))
     return out if min_cosine is None else out.where(F.col("cosine") >= min_cosine)
 

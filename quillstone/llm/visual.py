@@ -37,11 +37,24 @@ HOT = 100  #: a value of more than 1/HOT of the rows joined back is hot, so ther
 HOT_CHARS = 32_000_000  #: most characters of the hot values together that are broadcast
 
 
+def has_variant(text: str) -> bool:
+    """Does the text hold a full-width ASCII form, an invisible format character, a space other than U+0020, an
+    accent stored apart from its letter though one character exists, joined Latin letters, a non-breaking hyphen,
+    or a word that mixes Latin with Cyrillic or Greek letters?"""
+    if text.isascii():
+        return False
+    if lookalike.FORMAT.search(text) or lookalike.SPACES.search(text) or any(ord(c) in lookalike.FULL or ord(c) in lookalike.JOINED or c == "‑" for c in text):
+        return True
+    if any(len(unicodedata.normalize("NFC", m)) < len(m) for m in lookalike.MARKED.findall(text)):
+        return True
+    return any(lookalike.LATIN.search(w) and lookalike.OTHER.search(w) for w in lookalike.WORD.findall(text))
+
+
 def _map(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         form = pdf["value"].map(lookalike.one_form)
         plain = form.map(lambda x: unicodedata.normalize("NFC", _IGNORED.sub("", x)))
-        yield pdf.assign(form=form, plain=plain, variant=pdf["value"].map(lookalike.has_variant).astype(bool))
+        yield pdf.assign(form=form, plain=plain, variant=pdf["value"].map(has_variant).astype(bool))
 
 
 def _hashes(c: str) -> list[Column]:

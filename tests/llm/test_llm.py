@@ -75,6 +75,20 @@ def test_hot_group_of_copies(spark):
     assert pairs.count() == 55  # the eleven smallest ids
 
 
+def test_copies_and_others(spark):
+    """Hot copies are joined by broadcast, the rest as usual: both as brute force has it."""
+    rng = np.random.default_rng(9)
+    rows = [(f"h{i:03d}", [1.0, 2.0, 3.0]) for i in range(90)] + [(f"r{i:03d}", rng.normal(size=3).tolist()) for i in range(120)]
+    got = {}
+    for r in neighbours.most_similar(vectors(spark, rows), k=5).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.neighbour, r.cosine))
+    want = brute(rows, 5)
+    assert set(got) == set(want)
+    assert [x[1] for x in sorted(got["h050"])] == [j for j, _ in want["h050"]] == [f"h{i:03d}" for i in range(5)]
+    hit = sum(sum(c >= want[i][-1][1] - 1e-6 for _, _, c in got[i]) for i in want)
+    assert hit / (5 * len(want)) >= 0.9
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -165,6 +179,11 @@ def test_components(spark):
 # ---------------------------------------------------------------- 5
 
 
+def test_has_variant():
+    assert all(map(visual.has_variant, ["Ａ", "a­", "a b", "é", "ﬂ", "a‑b", "аb"]))
+    assert not any(map(visual.has_variant, ["рынок m² ½ ™ “x”\n", "", "plain", "Ωmega"[1:]]))
+
+
 def test_one_form(spark):
     rows = [("a", "Net sales"), ("b", "Ｎｅｔ sales"), ("c", "Net sales"), ("d", "Nеt sales"), ("e", "Café"), ("f", "Café"), ("g", "NET SALES"), ("h", None), ("i", ""), ("a", "Net sales"), ("j", "x​y"), ("k", "m² ™ – “q”\n"), ("l", "рост"), ("m", "z" * 100_000)]
     df = spark.createDataFrame([(k, t, "v", 1) for k, t in rows], "id string, text string, value string, n int")
