@@ -13,10 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators import chunking as K
 from quillstone.operators import content as N
 from quillstone.operators import evidence as E
 from quillstone.operators import metrics as M
 from quillstone.operators import retrieval as R
+from quillstone.session import materialize
 
 KS, BUDGET = (5, 10, 20), 2_000
 
@@ -106,6 +108,32 @@ def against_baseline(df: DataFrame, case: str, config: str, base: str, values: l
     return j.groupBy(config, "metric").agg(F.count("*").alias("n"), mean("base__").alias("base_mean"), mean("value").alias("mean"), mean("d__").alias("delta"), F.count_if(F.col("d__") > 1e-12).alias("improved"), F.count_if(F.col("d__") < -1e-12).alias("worse"), F.count_if(F.abs("d__") <= 1e-12).alias("unchanged"))
 
 
+def model_grid(models: dict[str, tuple[DataFrame, DataFrame]], chunks: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS, budget: int = BUDGET) -> DataFrame:
+    """(model, mode, query_id, page metrics): every encoder's (questions with qvec, chunks with embedding) ranked by cosine and scored in all modes.
+
+    ``chunks``: (chunk_id, document_id, page, token_count).
+    """
+    out = None
+    for name, (queries, vectors) in models.items():
+        r = R.dense_topk(queries, vectors, max(ks)).join(chunks.select("chunk_id", "document_id", "page", "token_count"), "chunk_id")
+        part = score_modes(r, gold, ks, budget).withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def chunk_grid(pages: DataFrame, queries: DataFrame, gold: DataFrame, configs: list[tuple[int, int]], k: int = 5) -> DataFrame:
+    """(config, n_chunks, n_words, questions, hits, mrr): pages cut by every (size, overlap), searched by BM25, scored by the gold page in the first ``k``."""
+    out = None
+    for size, overlap in configs:
+        c = K.word_windows(pages, ["document_id", "page"], size=size, overlap=overlap)
+        c = materialize(c.select(F.concat_ws("|", "document_id", "page", "chunk_no").alias("chunk_id"), "document_id", "page", "n_words", F.col("chunk").alias("text")), "windows")
+        top = R.bm25_topk(queries, c, k).join(c.select("chunk_id", "document_id", "page"), "chunk_id")
+        m = M.page_metrics(top, gold, "query_id").agg(F.count("*").alias("questions"), F.sum("hit").alias("hits"), F.round(F.avg("mrr"), 6).alias("mrr"))
+        part = c.agg(F.count("*").alias("n_chunks"), F.sum("n_words").alias("n_words")).join(m).withColumn("config", F.lit(f"{size}/{overlap}"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def unit_hits(units: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
     """(document_id, unit_id, page[, chunk_id]) where an evidence unit is found in a text of its document.
 

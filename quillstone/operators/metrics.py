@@ -102,6 +102,13 @@ def promote(summary: DataFrame, by: list[str], order: list[Column]) -> DataFrame
     return summary.withColumn("n__", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("n__ = 1").drop("n__")
 
 
+def grouped_sample(df: DataFrame, stratum: str, group: str, key: str, quota: int, seed: str = "") -> DataFrame:
+    """As ``quota_sample``, but at most one row of a group: the group's first in the order of the seeded hash."""
+    h = F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)
+    first = df.withColumn("g__", F.row_number().over(Window.partitionBy(group).orderBy(h, key))).where("g__ = 1").drop("g__")
+    return quota_sample(first, stratum, key, quota, seed)
+
+
 def quota_sample(df: DataFrame, stratum: str, key: str, quota: int, seed: str = "") -> DataFrame:
     """``quota`` rows of every stratum, in the order of a seeded hash of the key."""
     h = F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)

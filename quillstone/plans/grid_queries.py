@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
 from quillstone.operators import experiments as G
+from quillstone.operators import metrics as M
 from quillstone.operators import records as C
 from quillstone.operators import retrieval as R
 from quillstone.plans.common import BM25_SCORES, CORPUS, DENSE_SCORES, RERANK, RRF, corpus, once, questions, table
@@ -89,6 +90,34 @@ def against_baseline(s: SparkSession, d: str) -> DataFrame:
     return G.against_baseline(per, "query_id", "config", "bm25", ["hit", "mrr"])
 
 
+def model_grid(s: SparkSession, d: str) -> DataFrame:
+    """The vectors as they are against their first 32 components: mean page metrics by model and mode."""
+    q, c = questions(s, d), corpus(s, d)
+    half = lambda df, v: df.withColumn(v, F.slice(v, 1, 32))
+    m = G.model_grid({"full": (q, c), "first32": (half(q, "qvec"), half(c, "embedding"))}, c, _gold(s, d))
+    return G.means(m, ["model", "mode"], ["hit", "mrr"])
+
+
+def chunk_grid(s: SparkSession, d: str) -> DataFrame:
+    """Pages cut into 100, 200 and 300 words with and without overlap, searched by the questions' titles."""
+    pages = once(table(s, d, "parsed_pages"), "document_id", "page").select("document_id", "page", "text")
+    return G.chunk_grid(pages, questions(s, d), _gold(s, d), [(100, 0), (100, 20), (200, 30), (300, 45)])
+
+
+def rerank_truncation(s: SparkSession, d: str) -> DataFrame:
+    """How many of a question's candidates a re-ranker of 64 and one of 128 tokens would cut."""
+    r = dense_topk(s, d).join(questions(s, d).select("query_id", "question"), "query_id").join(corpus(s, d).select("chunk_id", "text"), "chunk_id")
+    out = [R.truncated(r, n).groupBy("query_id").agg(F.lit(n).alias("most"), F.count("*").alias("pairs"), F.count_if("truncated").alias("cut"), F.max("tokens").alias("longest")) for n in (64, 128)]
+    return out[0].unionByName(out[1])
+
+
+def ocr_sample(s: SparkSession, d: str) -> DataFrame:
+    """Pages for a comparison of OCR engines: five of each OCR status, no two of one document."""
+    pages = once(table(s, d, "parsed_pages"), "document_id", "page").select("document_id", "page", F.concat_ws("-", "document_id", "page").alias("key"))
+    j = pages.join(table(s, d, "library_documents").select("document_id", F.coalesce("ocr_status", F.lit("none")).alias("stratum")), "document_id")
+    return M.grouped_sample(j, "stratum", "document_id", "key", 5, "ocr").select("stratum", "document_id", "page", "pick")
+
+
 def _units(s: SparkSession, d: str) -> DataFrame:
     """Headings of pdf documents as evidence units: a phrase each."""
     e = once(table(s, d, "elements"), "element_id").where("kind = 'heading' and source.page is not null and text rlike '[A-Za-z]{3}'")
@@ -159,7 +188,29 @@ rq as (select md.mode, g.query_id, cast(coalesce(found, 0) > 0 as integer) as hi
 _GRID = lambda n: f"with {_POOL(n)}{_G}, x as (select {n} as candidates, k, r.query_id, max(cast(g.query_id is not null as integer)) as hit, sum(token_count) as tokens from r join c using (chunk_id) cross join (select unnest([5, 7, 10]) as k) left join g on g.query_id = r.query_id and g.document_id = c.document_id and g.page = c.page where r.rank <= k group by all) select candidates, k, count(*) as n, cast(sum(hit) as bigint) as hits, round(avg(tokens), 6) as tokens from x group by all"
 _OK = "(select *, list_transform(embedding, lambda x: cast(x as double)) as v from (select distinct on (chunk_id) * from chunks) where embedding is not null and len(list_filter(embedding, lambda x: x <> 0)) > 0)"
 
+_MODEL = lambda name, n: f"select '{name}' as model, * from (with {_MODES.replace('list_transform(embedding, lambda x: cast(x as double)) as v', f'list_transform(embedding[1:{n}], lambda x: cast(x as double)) as v')} select mode, count(*) as n, round(avg(hit), 6) as hit, round(avg(mrr), 6) as mrr from rq group by mode)"
+_W = r"[\s\x{85}\p{Z}\v]+"
+
+
+def _chunk_config(size: int, overlap: int) -> str:
+    """BM25 over one way of cutting the pages, scored by the gold page in the first 5."""
+    step = size - overlap
+    bm25 = BM25_SCORES.replace("from c)", "from wc)", 1).replace("rank <= 20", "rank <= 5")
+    return f"""select * from (with {CORPUS}{_G},
+w0 as (select document_id, page, list_filter(string_split_regex(text, '{_W}'), lambda x: x <> '') as w from (select distinct on (document_id, page) * from parsed_pages)),
+w1 as (select document_id, page, w, unnest(range(0, case when len(w) <= {size} then 1 else cast(ceil((len(w) - {size}) / {step}.0) as bigint) + 1 end)) as no from w0 where len(w) > 0),
+wc as (select document_id || '|' || page || '|' || no as chunk_id, document_id, page, list_slice(w, no * {step} + 1, no * {step} + {size}) as p, array_to_string(list_slice(w, no * {step} + 1, no * {step} + {size}), ' ') as text from w1){bm25},
+x as (select g.query_id, min(b.rank) as first from g left join (select b.query_id, b.rank, wc.document_id, wc.page from b join wc using (chunk_id)) b on b.query_id = g.query_id and b.document_id = g.document_id and b.page = g.page group by 1)
+select '{size}/{overlap}' as config, (select count(*) from wc) as n_chunks, (select cast(sum(len(p)) as bigint) from wc) as n_words, count(*) as questions, count(first) as hits, round(avg(coalesce(round(1.0 / first, 6), 0)), 6) as mrr from x)"""
+
+
 SQL = {
+    "model_grid": _MODEL("full", 64) + " union all " + _MODEL("first32", 32),
+    "chunk_grid": " union all ".join(_chunk_config(*c) for c in [(100, 0), (100, 20), (200, 30), (300, 45)]),
+    "rerank_truncation": f"with {DENSE_SCORES}, n as (select query_id, len(regexp_extract_all(lower(question), '[a-z0-9]+')) + len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) + 3 as t from d join q using (query_id) join c using (chunk_id)) select query_id, cast(m as integer) as most, count(*) as pairs, count(*) filter (t > m) as cut, cast(max(t) as integer) as longest from n cross join (select unnest([64, 128]) as m) group by query_id, m",
+    "ocr_sample": """with p as (select document_id, page, document_id || '-' || page as key, coalesce(ocr_status, 'none') as stratum from (select distinct document_id, page from parsed_pages) join library_documents using (document_id)),
+f as (select * from p qualify row_number() over (partition by document_id order by sha256('ocr' || key), key) = 1)
+select stratum, document_id, page, cast(row_number() over (partition by stratum order by sha256('ocr' || key), key) as integer) as pick from f qualify pick <= 5""",
     "rank_questions": f"with {_MODES} select * from rq",
     "mode_summary": f"with {_MODES} select mode, count(*) as n, " + ", ".join(f"round(avg({m}), 6) as {m}" for m in _METRICS) + " from rq group by mode",
     "retrieval_k_grid": f"select * from ({_GRID(20)}) union all select * from ({_GRID(50)})",
@@ -193,7 +244,7 @@ select chunk_id, case when n > 0 then 'left' else 'right' end as side, cast(abs(
 
 def queries() -> dict:
     names = [
-        rank_questions, mode_summary, retrieval_k_grid, selection_grid, selection_mmr_grid, batch_query_grid, evaluate_ids, two_denominators, against_baseline,
+        rank_questions, mode_summary, retrieval_k_grid, selection_grid, selection_mmr_grid, batch_query_grid, evaluate_ids, two_denominators, against_baseline, model_grid, chunk_grid, rerank_truncation, ocr_sample,
         unit_reachability, unit_rubric, provenance_fields, question_template, positional_join, round_trip, index_symmetry, reading_order,
     ]
     return {f.__name__: f for f in names}

@@ -80,17 +80,54 @@ class Store:
             raise ValueError("nothing is published")
         if m["model"] != model:
             raise ValueError(f"the index was made with {m['model']}")
-        return self.spark.read.parquet(f"{self.root}/versions/{m['version']}")
+        where = f"{self.root}/versions/{m['version']}"
+        if m.get("schema") != 1 or not self._fs.exists(self._path(where)):
+            raise ValueError("the published version isn't there, or of another form")
+        return self.spark.read.parquet(where)
 
     def clear(self) -> None:
         self._write(f"{self.root}/current.json", "null")
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header and a byte order mark, as spreadsheets expect it; for reports, one file."""
+    first, *rest = df.columns
+    df.select(F.col(first).alias(f"\ufeff{first}"), *rest).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def export_trace(trace: DataFrame, path: str) -> None:
     """A trace's stages as CSV with a header."""
     trace.write.mode("overwrite").option("header", True).csv(path)
 
 
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, sha256) of all files below a folder, hidden ones and markers aside."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    return f.where(~F.substring(name, 1, 1).isin("_", ".")).select(F.col("path").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def export_bundle(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """A run's tables as CSV below a folder, with a manifest of their hashes beside them (``manifest``, JSON lines), which is returned."""
+    for name, df in tables.items():
+        export_trace(df, f"{path}/data/{name}")
+    manifest(spark, f"{path}/data").write.mode("overwrite").json(f"{path}/manifest")
+    return spark.read.schema("file string, size bigint, sha256 string").json(f"{path}/manifest")
+
+
+def changed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, what) of a bundle: files that are missing, new or altered since its manifest was written."""
+    old = spark.read.schema("file string, size bigint, sha256 string").json(f"{path}/manifest").select("file", F.col("sha256").alias("was"))
+    j = old.join(manifest(spark, f"{path}/data").select("file", "sha256"), "file", "full_outer")
+    what = F.when(F.col("sha256").isNull(), "missing").when(F.col("was").isNull(), "new").when(F.col("was") != F.col("sha256"), "altered")
+    return j.select("file", what.alias("what")).where("what is not null")
+
+
+def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON arrays, one array a file."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation cases from JSON lines, by an explicit schema."""
     ddl = "case_id string, company string, doc_name string, question_type string, question string, answer string, evidence array<struct<doc_name: string, evidence_doc_name: string, evidence_page_num: int, evidence_text: string>>"

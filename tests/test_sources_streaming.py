@@ -116,6 +116,21 @@ def test_store(spark, tmp_path):
     assert s.current() is None
 
 
+def test_bundle(spark, tmp_path):
+    a = spark.createDataFrame([("q", 1, "x"), ("q", 2, "y")], "query_id string, rank int, chunk_id string")
+    got = store.export_bundle(spark, str(tmp_path / "run"), {"dense": a, "bm25": a.limit(0)})
+    assert got.count() >= 1 and all(len(r.sha256) == 64 for r in got.collect()) and store.changed_files(spark, str(tmp_path / "run")).count() == 0
+    one = next((tmp_path / "run/data/dense").glob("part-*.csv"))
+    one.with_name(f".{one.name}.crc").unlink(missing_ok=True)
+    one.write_text(one.read_text() + "more")
+    (tmp_path / "run/data/extra.csv").write_text("1")
+    assert {r.what for r in store.changed_files(spark, str(tmp_path / "run")).collect()} == {"altered", "new"}
+    store.write_csv(a, str(tmp_path / "csv"))
+    assert next((tmp_path / "csv").glob("*.csv")).read_bytes().startswith("\ufeffquery_id,rank".encode())
+    (tmp_path / "a.json").write_text(json.dumps([{"i": 1}, {"i": 2}], indent=1))
+    assert [r.i for r in store.read_array(spark, str(tmp_path / "a.json"), "i int").collect()] == [1, 2]
+
+
 EVENTS = [("r", 1, "progress", None), ("r", 2, "answer_delta", "wrong"), ("r", 3, "answer_reset", None), ("r", 5, "answer_delta", "lo"), ("r", 4, "answer_delta", "hel"), ("r", 4, "answer_delta", "hel"), ("r", 6, "done", None), ("s", 1, "answer_delta", "x")]
 
 
