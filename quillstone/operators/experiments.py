@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions import text as X
 from quillstone.operators import chunking as K
 from quillstone.operators import content as N
 from quillstone.operators import evidence as E
@@ -121,19 +122,49 @@ def model_grid(models: dict[str, tuple[DataFrame, DataFrame]], chunks: DataFrame
     return out
 
 
-def chunk_grid(pages: DataFrame, queries: DataFrame, gold: DataFrame, configs: list[tuple[int, int]], k: int = 5) -> DataFrame:
-    """(config, n_chunks, n_words, questions, hits, mrr): pages cut by every (size, overlap), searched by BM25, scored by the gold page in the first ``k``."""
+def score_chunkings(chunkings: dict[str, DataFrame], queries: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
+    """(config, n_chunks, n_words, questions, hits, mrr): ways of cutting pages, (chunk_id, document_id, page, n_words, text) each, searched by BM25 and scored by the gold page in the first ``k``."""
     out = None
-    for size, overlap in configs:
-        c = K.word_windows(pages, ["document_id", "page"], size=size, overlap=overlap)
-        c = materialize(c.select(F.concat_ws("|", "document_id", "page", "chunk_no").alias("chunk_id"), "document_id", "page", "n_words", F.col("chunk").alias("text")), "windows")
+    for name, c in chunkings.items():
+        c = materialize(c.select("chunk_id", "document_id", "page", "n_words", "text"), "chunking")
         top = R.bm25_topk(queries, c, k).join(c.select("chunk_id", "document_id", "page"), "chunk_id")
         m = M.page_metrics(top, gold, "query_id").agg(F.count("*").alias("questions"), F.sum("hit").alias("hits"), F.round(F.avg("mrr"), 6).alias("mrr"))
-        part = c.agg(F.count("*").alias("n_chunks"), F.sum("n_words").alias("n_words")).join(m).withColumn("config", F.lit(f"{size}/{overlap}"))
+        part = c.agg(F.count("*").alias("n_chunks"), F.sum("n_words").alias("n_words")).join(m).withColumn("config", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _named(chunks: DataFrame) -> DataFrame:
+    return chunks.select(F.concat_ws("|", "document_id", "page", "chunk_no").alias("chunk_id"), "document_id", "page", F.size(X.words(F.col("chunk"))).alias("n_words"), F.col("chunk").alias("text"))
+
+
+def window_chunkings(pages: DataFrame, configs: list[tuple[int, int]]) -> dict[str, DataFrame]:
+    """Pages (document_id, page, text) cut into word windows by every (size, overlap)."""
+    return {f"{size}/{overlap}": _named(K.word_windows(pages, ["document_id", "page"], size=size, overlap=overlap)) for size, overlap in configs}
+
+
+def paragraph_chunkings(pages: DataFrame, sizes: list[int]) -> dict[str, DataFrame]:
+    """Pages cut at paragraphs, then sentences, then words, pieces left apart and packed."""
+    cut = lambda n, pack: K.chunk_rows(pages, ["document_id", "page"], "text", lambda t: K.sentence_chunks(t, n, pack, K.word_count))
+    return {f"paragraphs {n}{' packed' if pack else ''}": _named(cut(n, pack)) for n in sizes for pack in (False, True)}
+
+
+def adaptive_rounds(results: DataFrame, enough: Column, k: int, key: str = "session") -> DataFrame:
+    """(config, session, chunk_id, searches): one search, two that share ``k`` places, or a second one only where the first isn't ``enough``.
+
+    ``results``: (session, query_no 1 or 2, rank, chunk_id, score); ``enough`` is an
+    aggregate over a session's first search.  A session without results is in no
+    configuration.
+    """
+    fine = results.where("query_no = 1").groupBy(key).agg(enough.alias("fine__"))
+    r = results.join(fine, key, "left").withColumn("fine__", F.coalesce("fine__", F.lit(False)))
+    share = F.col("rank") <= E.quota(F.lit(k), F.lit(2), F.col("query_no") - 1)
+    first = (F.col("query_no") == 1) & (F.col("rank") <= k)
+    configs = F.array_compact(F.array(F.when(first, F.lit("one")), F.when(share, F.lit("two")), F.when(F.when(F.col("fine__"), first).otherwise(share), F.lit("adaptive"))))
+    searches = F.when(F.col("config") == "one", 1).when(F.col("config") == "two", 2).otherwise(F.when(F.col("fine__"), 1).otherwise(2))
+    return r.withColumn("config", F.explode(configs)).select("config", key, "chunk_id", searches.alias("searches")).distinct()
+
+
 def unit_hits(units: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
     """(document_id, unit_id, page[, chunk_id]) where an evidence unit is found in a text of its document.
 

@@ -101,7 +101,23 @@ def model_grid(s: SparkSession, d: str) -> DataFrame:
 def chunk_grid(s: SparkSession, d: str) -> DataFrame:
     """Pages cut into 100, 200 and 300 words with and without overlap, searched by the questions' titles."""
     pages = once(table(s, d, "parsed_pages"), "document_id", "page").select("document_id", "page", "text")
-    return G.chunk_grid(pages, questions(s, d), _gold(s, d), [(100, 0), (100, 20), (200, 30), (300, 45)])
+    return G.score_chunkings(G.window_chunkings(pages, [(100, 0), (100, 20), (200, 30), (300, 45)]), questions(s, d), _gold(s, d))
+
+
+def paragraph_grid(s: SparkSession, d: str) -> DataFrame:
+    """Pages cut at paragraphs and sentences of at most 80 and 160 words, apart and packed."""
+    pages = once(table(s, d, "parsed_pages"), "document_id", "page").select("document_id", "page", "text")
+    return G.score_chunkings(G.paragraph_chunkings(pages, [80, 160]), questions(s, d), _gold(s, d))
+
+
+def adaptive_query_grid(s: SparkSession, d: str) -> DataFrame:
+    """One search, two, or a second only where the first one's best score is below 0.95: the question's own page found, chunks and searches."""
+    q, c = questions(s, d), corpus(s, d)
+    parts = [x.select(F.col("query_id").alias("session"), F.lit(n).alias("query_no"), "rank", "chunk_id", "score") for n, x in ((1, R.dense_topk(q, c, 8)), (2, R.bm25_topk(q, c, 8)))]
+    r = G.adaptive_rounds(parts[0].unionByName(parts[1]), F.max("score") >= 0.95, 8)
+    g = _gold(s, d).select(F.col("query_id").alias("session"), "document_id", "page").withColumn("gold", F.lit(1))
+    per = r.join(c.select("chunk_id", "document_id", "page"), "chunk_id").join(g, ["session", "document_id", "page"], "left").groupBy("config", "session").agg(F.max(F.coalesce("gold", F.lit(0))).alias("hit"), F.count("*").alias("chunks"), F.max("searches").alias("searches"))
+    return G.means(per, ["config"], ["hit", "chunks", "searches"])
 
 
 def rerank_truncation(s: SparkSession, d: str) -> DataFrame:
@@ -207,6 +223,11 @@ select '{size}/{overlap}' as config, (select count(*) from wc) as n_chunks, (sel
 SQL = {
     "model_grid": _MODEL("full", 64) + " union all " + _MODEL("first32", 32),
     "chunk_grid": " union all ".join(_chunk_config(*c) for c in [(100, 0), (100, 20), (200, 30), (300, 45)]),
+    "adaptive_query_grid": f"""with {DENSE_SCORES}{BM25_SCORES}{_G}, z as (select query_id as session, 1 as query_no, rank, chunk_id, score from d where rank <= 8 union all select query_id, 2, rank, chunk_id, score from b where rank <= 8),
+fi as (select session, max(score) >= 0.95 as fine from z where query_no = 1 group by 1), y as (select z.*, coalesce(fine, false) as fine from z left join fi using (session)),
+cf as (select 'one' as config, session, chunk_id, 1 as searches from y where query_no = 1 union select 'two', session, chunk_id, 2 from y where rank <= 4 union select 'adaptive', session, chunk_id, case when fine then 1 else 2 end from y where case when fine then query_no = 1 else rank <= 4 end),
+x as (select config, session, max(cast(g.query_id is not null as integer)) as hit, count(*) as chunks, max(searches) as searches from cf join c using (chunk_id) left join g on g.query_id = session and g.document_id = c.document_id and g.page = c.page group by all)
+select config, count(*) as n, round(avg(hit), 6) as hit, round(avg(chunks), 6) as chunks, round(avg(searches), 6) as searches from x group by config""",
     "rerank_truncation": f"with {DENSE_SCORES}, n as (select query_id, len(regexp_extract_all(lower(question), '[a-z0-9]+')) + len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) + 3 as t from d join q using (query_id) join c using (chunk_id)) select query_id, cast(m as integer) as most, count(*) as pairs, count(*) filter (t > m) as cut, cast(max(t) as integer) as longest from n cross join (select unnest([64, 128]) as m) group by query_id, m",
     "ocr_sample": """with p as (select document_id, page, document_id || '-' || page as key, coalesce(ocr_status, 'none') as stratum from (select distinct document_id, page from parsed_pages) join library_documents using (document_id)),
 f as (select * from p qualify row_number() over (partition by document_id order by sha256('ocr' || key), key) = 1)
@@ -244,7 +265,7 @@ select chunk_id, case when n > 0 then 'left' else 'right' end as side, cast(abs(
 
 def queries() -> dict:
     names = [
-        rank_questions, mode_summary, retrieval_k_grid, selection_grid, selection_mmr_grid, batch_query_grid, evaluate_ids, two_denominators, against_baseline, model_grid, chunk_grid, rerank_truncation, ocr_sample,
+        rank_questions, mode_summary, retrieval_k_grid, selection_grid, selection_mmr_grid, batch_query_grid, evaluate_ids, two_denominators, against_baseline, model_grid, chunk_grid, paragraph_grid, adaptive_query_grid, rerank_truncation, ocr_sample,
         unit_reachability, unit_rubric, provenance_fields, question_template, positional_join, round_trip, index_symmetry, reading_order,
     ]
     return {f.__name__: f for f in names}

@@ -76,6 +76,23 @@ def test_rubric_and_reachability(spark):
         G.rubric(u, pages.where("page = 3")).collect()
 
 
+def test_adaptive_rounds(spark):
+    rows = [("s", n, r, f"{n}{r}", 0.9 if n == 1 else 5.0) for n in (1, 2) for r in (1, 2, 3)] + [("t", n, r, f"{n}{r}", 0.1) for n in (1, 2) for r in (1, 2, 3)] + [("u", 2, 1, "21", 5.0)]
+    got = {}
+    for r in G.adaptive_rounds(spark.createDataFrame(rows, "session string, query_no int, rank int, chunk_id string, score double"), F.max("score") >= 0.5, 3).collect():
+        got.setdefault((r.config, r.session, r.searches), set()).add(r.chunk_id)
+    two = {"11", "12", "21"}
+    assert got == {("one", "s", 1): {"11", "12", "13"}, ("one", "t", 1): {"11", "12", "13"}, ("two", "s", 2): two, ("two", "t", 2): two, ("two", "u", 2): {"21"}, ("adaptive", "s", 1): {"11", "12", "13"}, ("adaptive", "t", 2): two, ("adaptive", "u", 2): {"21"}}
+
+
+def test_chunkings(spark):
+    pages = spark.createDataFrame([("D", 1, "alpha beta gamma.\n\ndelta china"), ("D", 2, "other words here")], "document_id string, page int, text string")
+    q = spark.createDataFrame([("q", "china")], "query_id string, question string")
+    gold = spark.createDataFrame([("q", "D", 1)], "query_id string, document_id string, page int")
+    got = {r.config: r for r in G.score_chunkings(G.window_chunkings(pages, [(2, 0)]) | G.paragraph_chunkings(pages, [3]), q, gold).collect()}
+    assert got["2/0"].n_chunks == 5 and got["paragraphs 3"].n_chunks == 3 and all(r.hits == 1 and r.mrr == 1 and r.n_words == 8 for r in got.values())
+
+
 def test_records(spark):
     a = spark.createDataFrame([(0, "a"), (1, "b"), (1, "b")], "position_no int, chunk_id string")
     b = spark.createDataFrame([(0, "a"), (1, "c")], "position_no int, chunk_id string")
