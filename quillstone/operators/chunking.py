@@ -111,48 +111,50 @@ def char_pieces(text: str, most: int, count: Callable[[str], int]) -> list[tuple
 
 
 def sentence_chunks(text: str, most: int, pack: bool, count: Callable[[str], int]) -> list[tuple[int, int]]:
-    """(start, end) of paragraphs, whole where they fit, else by sentences, else by pieces; with ``pack`` neighbours are joined while they fit."""
+    """(start, end) of paragraphs, whole where they fit, else by sentences, else by pieces.
+
+    Sentences of a broken paragraph share a chunk while they fit.  With ``pack``
+    whole paragraphs are joined while they fit; parts of broken ones stay apart.
+    """
     spans: list[tuple[int, int]] = []
-    for m in re.finditer(r"\S(?:.*?\S)?(?=\s*\n\s*\n|\s*\Z)", text, re.S):
-        a, b = m.span()
-        if count(text[a:b]) <= most:
+    whole: list[bool] = []
+
+    def add(a: int, b: int, joins: bool, is_whole: bool) -> None:
+        if joins and spans and whole[-1] == is_whole and count(text[spans[-1][0] : b]) <= most:
+            spans[-1] = spans[-1][0], b
+        else:
             spans.append((a, b))
+            whole.append(is_whole)
+
+    for p in re.finditer(r"\S(?:.*?\S)?(?=\s*\n\s*\n|\s*\Z)", text, re.S):
+        if count(p[0]) <= most:
+            add(*p.span(), pack, True)
             continue
-        for s in re.finditer(r".+?(?:[.!?。！？]+(?=\s|$)|\Z)", text[a:b], re.S):
-            x, y = a + s.start(), a + s.end()
-            x += len(text[x:y]) - len(text[x:y].lstrip())
-            if x >= y:
-                continue
-            if count(text[x:y]) <= most:
-                if spans and spans[-1][0] >= a and spans[-1][1] <= x and count(text[spans[-1][0] : y]) <= most:
-                    spans[-1] = (spans[-1][0], y)
-                else:
-                    spans.append((x, y))
-            else:
-                spans += [(x + i, x + j) for i, j in char_pieces(text[x:y], most, count)]
-    if not pack:
-        return spans
-    out: list[tuple[int, int]] = []
-    for a, b in spans:
-        if out and count(text[out[-1][0] : b]) <= most:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+        first = True  # a broken paragraph's first part joins nothing before it
+        for s in re.finditer(r"\S.*?(?:[.!?。！？]+(?=\s|$)|\Z)", p[0], re.S):
+            a, b = p.start() + s.start(), p.start() + s.end()
+            parts = [(a, b)] if count(s[0]) <= most else [(a + i, a + j) for i, j in char_pieces(s[0], most, count)]
+            for part in parts:
+                add(*part, len(parts) == 1 and not first, False)
+                first = len(parts) > 1
+    return spans
 
 
 def token_windows(text: str, size: int, overlap: int, spans: Callable[[str], list[tuple[int, int]]]) -> list[tuple[int, int]]:
-    """(start, end) of windows of at most ``size`` tokens; a window ends at a paragraph's end in its last quarter where there is one."""
+    """(start, end) of windows of at most ``size`` tokens; a window ends at a paragraph's end in its last quarter where there is one.
+
+    A window is tokenised again by itself, and shortened should that make more tokens of it.
+    """
     check_config(size, overlap)
     t = spans(text)
     out, at = [], 0
     while at < len(t):
         end = min(at + size, len(t))
         if end < len(t):
-            for k in range(end, at + max(1, size * 3 // 4), -1):
-                if "\n\n" in text[t[k - 1][1] : t[k][0]]:
-                    end = k
-                    break
+            quarter = range(end, at + max(1, size * 3 // 4), -1)
+            end = next((k for k in quarter if "\n\n" in text[t[k - 1][1] : t[k][0]]), end)
+        while end > at + 1 and len(spans(text[t[at][0] : t[end - 1][1]])) > size:
+            end -= 1
         out.append((t[at][0], t[end - 1][1]))
         if end == len(t):
             break

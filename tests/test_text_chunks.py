@@ -104,6 +104,21 @@ def test_span_audit(spark):
     assert got == {0: (16, True, True), 1: (13, True, True), 2: (16, False, False), 3: (16, True, False), 4: (11, True, True)}
 
 
+def test_broken_paragraphs_stay_apart():
+    text = "a b\n\nc d\n\none two three. four five. six\n\ne f\n\ng h"
+    cut = lambda pack: [text[a:b] for a, b in K.sentence_chunks(text, 5, pack, K.word_count)]
+    assert cut(True) == ["a b\n\nc d", "one two three. four five.", "six", "e f\n\ng h"]
+    assert cut(False) == ["a b", "c d", "one two three. four five.", "six", "e f", "g h"]
+
+
+def test_windows_are_tokenised_again():
+    spans = lambda t: [m.span() for m in re.finditer(r"^\w|\w+", t)]  # a word's first letter is a token at the start of a text only
+    text = "alpha beta gamma delta epsilon"
+    got = K.token_windows(text, 3, 0, spans)
+    assert all(len(spans(text[a:b])) <= 3 for a, b in got) and got[0][0] == 0 and got[-1][1] == len(text)
+    assert "".join(text[a:b] for a, b in got).replace(" ", "") == text.replace(" ", "")
+
+
 def test_structured_chunks(spark):
     e = spark.createDataFrame(
         [("d", 1, "e1", "heading", "Title", None, 1, "pdf"), ("d", 2, "e2", "paragraph", "one two three four", None, 1, "pdf"), ("d", 3, "e3", "table", None, "t1", 1, "pdf"), ("d", 4, "e4", "paragraph", "next page", None, 2, "pdf")],
