@@ -11,7 +11,7 @@ from quillstone.operators import metrics as M
 from quillstone.operators import records as C
 from quillstone.operators import retrieval as R
 from quillstone.plans.common import BM25_SCORES, CORPUS, DENSE_SCORES, RERANK, RRF, corpus, once, questions, table
-from quillstone.plans.retrieval_queries import _gold, _rounds, dense_topk
+from quillstone.plans.retrieval_queries import _gold, _rounds, dense_topk, mmr_sql
 from quillstone.session import materialize
 
 _METRICS = ["hit", "coverage", "all_hit", "mrr", "unique_pages", "repeat_fraction"]
@@ -220,7 +220,15 @@ x as (select g.query_id, min(b.rank) as first from g left join (select b.query_i
 select '{size}/{overlap}' as config, (select count(*) from wc) as n_chunks, (select cast(sum(len(p)) as bigint) from wc) as n_words, count(*) as questions, count(first) as hits, round(avg(coalesce(round(1.0 / first, 6), 0)), 6) as mrr from x)"""
 
 
+def _mmr_config(threshold: float, weight: float) -> str:
+    pool = f"select query_id, chunk_id, score, rank, v from rv where score >= {threshold}"
+    return f"select 't={threshold} mmr={weight}' as config, query_id, score from ({mmr_sql(pool, weight, 7)})"
+
+
 SQL = {
+    "selection_mmr_grid": f"""with {_POOL(20)}, rv as (select r.query_id, r.chunk_id, rerank_score as score, r.rank, v from r join ok using (chunk_id)), s as (select 'top7' as config, 0.0 as t union all select 't=' || t, t from (select unnest([0.1, 0.3, 0.5]) as t)),
+x as (select config, query_id, score from rv join s on score >= t where rank <= 7 union all """ + " union all ".join(_mmr_config(t, w) for t in (0.1, 0.3, 0.5) for w in (0.6, 0.8)) + """)
+select config, count(*) as chunks, count(distinct query_id) as questions, round(avg(score), 6) as score from x group by config""",
     "model_grid": _MODEL("full", 64) + " union all " + _MODEL("first32", 32),
     "chunk_grid": " union all ".join(_chunk_config(*c) for c in [(100, 0), (100, 20), (200, 30), (300, 45)]),
     "adaptive_query_grid": f"""with {DENSE_SCORES}{BM25_SCORES}{_G}, z as (select query_id as session, 1 as query_no, rank, chunk_id, score from d where rank <= 8 union all select query_id, 2, rank, chunk_id, score from b where rank <= 8),

@@ -182,9 +182,9 @@ def evidence_usage(s: SparkSession, d: str) -> DataFrame:
     return E.evidence_usage(_rounds(s, d), used)
 
 
-def _mmr_sql(weight: float, k: int) -> str:
-    """Maximal marginal relevance in SQL: a step per place, each over the candidates not taken yet."""
-    steps = ["""m0 as (select d.query_id, d.chunk_id, d.score, d.rank, v from d join ok using (chunk_id)), sim as (select a.query_id, a.chunk_id, b.chunk_id as other, list_cosine_similarity(a.v, b.v) as s from m0 a join m0 b using (query_id)),
+def mmr_sql(pool: str, weight: float, k: int) -> str:
+    """(query_id, chunk_id, score, place): maximal marginal relevance in SQL over a pool (query_id, chunk_id, score, rank, v), a step per place over the candidates not taken yet."""
+    steps = [f"""m0 as ({pool}), sim as (select a.query_id, a.chunk_id, b.chunk_id as other, list_cosine_similarity(a.v, b.v) as s from m0 a join m0 b using (query_id)),
 t0 as (select query_id, chunk_id, cast(0 as integer) as place from m0 where false)"""]
     for n in range(1, k + 1):
         taken = " union all ".join(f"select * from t{i}" for i in range(n))
@@ -193,7 +193,7 @@ near as (select s.query_id, s.chunk_id, max(s) as s from sim s join taken t on t
 gain as (select l.query_id, l.chunk_id, l.rank, round({weight} * score - {1 - weight} * greatest(0, coalesce(s, 0)), 12) as g from left_ l left join near using (query_id, chunk_id))
 select query_id, chunk_id, cast({n} as integer) as place from gain qualify row_number() over (partition by query_id order by g desc, rank) = 1)""")
     all_ = " union all ".join(f"select * from t{i}" for i in range(1, k + 1))
-    return f"with {DENSE_SCORES}, " + ", ".join(steps) + f" select z.query_id, z.chunk_id, score as rerank_score, place as rank from ({all_}) z join m0 using (query_id, chunk_id)"
+    return "with " + ", ".join(steps) + f" select z.query_id, z.chunk_id, score, place from ({all_}) z join m0 using (query_id, chunk_id)"
 
 
 _PAGE = ", g as (select chunk_id as query_id, document_id, page from c where position_no % 20 = 0 and page is not null)"
@@ -226,7 +226,7 @@ select query_id, count(*) filter (label = own) as same, cast(coalesce(min(rank)
     "compare_methods": f"""with {_ALL}
 select query_id, 'dense' as stage, {_int("rank", "rank")}, chunk_id, score from d union all select query_id, 'bm25', cast(rank as integer), chunk_id, score from b
 union all select query_id, 'fused', cast(rank as integer), chunk_id, rrf_score from f union all select query_id, 'reranked', cast(rank as integer), chunk_id, rerank_score from r""",
-    "mmr_select": _mmr_sql(0.6, 5),
+    "mmr_select": f"with {DENSE_SCORES} select query_id, chunk_id, score as rerank_score, place as rank from ({mmr_sql('select d.query_id, d.chunk_id, d.score, d.rank, v from d join ok using (chunk_id)', 0.6, 5)})",
     "page_metrics": f"""with {DENSE_SCORES}{_PAGE}, m as (select d.query_id, d.rank, c.document_id, c.page, g.query_id is not null as gold from d join c using (chunk_id) left join g on g.query_id = d.query_id and g.document_id = c.document_id and g.page = c.page),
 x as (select query_id, count(distinct {{'d': document_id, 'p': page}}) filter (gold) as found, min(rank) filter (gold) as first, count(distinct {{'d': document_id, 'p': page}}) as u, count(*) as n from m group by query_id)
 select query_id, cast(coalesce(found, 0) > 0 as integer) as hit, round(coalesce(found, 0) / 1.0, 6) as coverage, cast(coalesce(found, 0) = 1 as integer) as all_hit, coalesce(round(1.0 / first, 6), 0.0) as mrr,
