@@ -17,18 +17,22 @@ from quillstone.llm.graph import connected_components
 from quillstone.session import materialize
 
 
+def _folded(text: Column, sharp_s: bool) -> Column:
+    """Letter case, white space but line breaks, and runs of digits each in one form."""
+    x = F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))  # both are the lower case of one letter
+    if sharp_s:
+        x = F.replace(x, F.lit("ß"), F.lit("ss"))
+    x = F.regexp_replace(x, r"(?U)[\s&&[^\n]]+", " ")
+    return F.regexp_replace(x, r"\p{Nd}+", "0")
+
+
 def line_key(line: Column, sharp_s: bool = True) -> Column:
     """Equal for lines that differ only in case, white space of any kind, or the digits of a run.
 
     With ``sharp_s`` a sharp s equals SS, as upper-cased German has it, although
     these are one letter and two.
     """
-    x = F.replace(F.lower(line), F.lit("ς"), F.lit("σ"))  # both are the lower case of one letter
-    if sharp_s:
-        x = F.replace(x, F.lit("ß"), F.lit("ss"))
-    x = F.regexp_replace(x, r"(?U)\s+", " ")
-    x = F.regexp_replace(x, r"\p{Nd}+", "0")
-    return F.trim(x)
+    return F.trim(_folded(line, sharp_s))
 
 
 def has_letters(line: Column, n: int) -> Column:
@@ -38,10 +42,9 @@ def has_letters(line: Column, n: int) -> Column:
 
 def _lines(df: DataFrame, group: str, page: Column, item: list[str], order: Column, text: str, min_letters: int) -> DataFrame:
     """One row per item with its eligible lines as array<struct<no, h1, h2>>; the hash pair is that of the group and the line's key."""
-    numbered = F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct((i + 1).cast("int").alias("no"), x.alias("x")))
-    kept = F.filter(numbered, lambda s: has_letters(s["x"], min_letters))
-    # the key is computed in a step of its own: named twice inside one lambda, it would be computed twice
-    keyed = F.transform(kept, lambda s: F.struct(s["no"].alias("no"), line_key(s["x"], sharp_s=False).alias("k")))
+    # folded as a whole, which is cheaper than line by line and leaves lines and letters where they are
+    numbered = F.transform(F.split(_folded(F.col(text), sharp_s=False), "\n", -1), lambda x, i: F.struct((i + 1).cast("int").alias("no"), F.trim(x).alias("k")))
+    keyed = F.filter(numbered, lambda s: (F.length(s["k"]) >= min_letters) & has_letters(s["k"], min_letters))
     g = F.col(group)
     hashed = F.transform(keyed, lambda s: F.struct(s["no"].alias("no"), F.xxhash64(g, s["k"]).alias("h1"), F.xxhash64(F.lit("b"), g, s["k"]).alias("h2")))
     return df.where(g.isNotNull() & page.isNotNull() & F.col(text).isNotNull()).select(g.alias("g"), page.alias("page"), *(F.col(c).alias(f"item_{c}") for c in item), order.alias("ord"), hashed.alias("lines")).where(F.size("lines") > 0)

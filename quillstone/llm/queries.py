@@ -91,6 +91,11 @@ def p3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.repeated_lines(_t(spark, sf_dir, "elements"))[1].groupBy("document_id", "block").agg(n(F.col("repeated"))("n_lines"), n(~F.col("repeated"))("n_near"), F.max("support").alias("most_pages"))
 
 
+def p3_block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p3_blocks`` without their names."""
+    return p3_blocks(spark, sf_dir).drop("block")
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 5's texts: Element.text and Cell.text."""
     e = _t(spark, sf_dir, "elements").select(F.lit("element").alias("item_kind"), F.col("element_id").alias("item_id"), "text")
@@ -108,6 +113,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual.one_form(_texts(spark, sf_dir), ["item_kind", "item_id"], dedupe=False).where("has_variant").select("item_kind", "item_id").distinct()
 
 
+def p5_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose text holds a variant: their canonical form holds none, by a pattern of its own, and equal forms are one text."""
+    f = p5_forms(spark, sf_dir).where("has_variant").select("item_kind", "item_id", "canonical")
+    left = F.col("canonical").rlike(r"[！-～‑\p{Cf}]|[\p{Zs}&&[^ ]]|\p{IsLatin}[\p{L}\p{M}]*[\p{IsCyrillic}\p{IsGreek}]|[\p{IsCyrillic}\p{IsGreek}][\p{L}\p{M}]*\p{IsLatin}")
+    return f.select("item_kind", "item_id", (~left).alias("clean"))
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in containers of 1,024 tokens."""
     return packing.fill_containers(_t(spark, sf_dir, "documents"))
@@ -174,6 +186,16 @@ f as (select document_id, page, list(distinct line_no) as gone from pk join n us
 select pg.document_id, pg.page, case when gone is null then text else array_to_string(list_transform(list_filter(list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1)), lambda x: not list_contains(gone, x[2])), lambda x: x[1]), chr(10)) end as text
 from pg left join f using (document_id, page)"""
 
+P3_BLOCK_SIZES = _P3.replace("with e as", "with recursive e as", 1).replace("select distinct element_id, document_id, source.page as page, text from elements", "select distinct element_id, document_id, ordinal, source.page as page, text from elements", 1).replace("select element_id, document_id, page, unnest(", "select element_id, document_id, ordinal, page, unnest(", 1).replace("select element_id, document_id, page, line_no,", "select element_id, document_id, ordinal, page, line_no,", 1) + """,
+sn as (select document_id, k, count(distinct page) as support from k group by all having count(distinct page) >= 3),
+le as (select document_id, page, k as a, lead(k) over (partition by document_id, page order by ordinal, line_no) as b from k),
+ed as (select document_id, a, b, count(distinct page) as support from le where b is not null and a <> b group by all having count(distinct page) >= 3),
+ke as (select ed.document_id, a, b from ed join sn x on x.document_id = ed.document_id and x.k = a join sn y on y.document_id = ed.document_id and y.k = b where ed.support >= 5 or ed.support = least(x.support, y.support)),
+un as (select document_id, a, b from ke union select document_id, b, a from ke),
+rc(document_id, a, b) as (select document_id, k, k from sn union select rc.document_id, rc.a, un.b from rc join un on un.document_id = rc.document_id and un.a = rc.b),
+cm as (select document_id, a as k, min(b) as block from rc group by all)
+select document_id, count(*) filter (support >= 5) as n_lines, count(*) filter (support < 5) as n_near, max(support) as most_pages from cm join sn using (document_id, k) group by document_id, block having max(support) >= 5"""
+
 P1_FOUND = """
 with v as (select chunk_id, list_transform(embedding, lambda x: cast(x as double)) as v from (select distinct on (chunk_id) chunk_id, embedding from chunks) where embedding is not null and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 s as (select a.chunk_id as a, b.chunk_id as b, list_cosine_similarity(a.v, b.v) as c from v a join v b on a.chunk_id <> b.chunk_id),
@@ -189,8 +211,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found, "p1_neighbours": p1_neighbours,
         "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_coverage": p2_coverage,
-        "p3_found": p3_found, "p3_elements": p3_elements, "p3_pages": p3_pages, "p3_blocks": p3_blocks,
-        "p5_found": p5_found, "p5_forms": p5_forms,
+        "p3_found": p3_found, "p3_elements": p3_elements, "p3_pages": p3_pages, "p3_blocks": p3_blocks, "p3_block_sizes": p3_block_sizes,
+        "p5_found": p5_found, "p5_forms": p5_forms, "p5_audit": p5_audit,
         "p6_containers": p6_containers, "p6_audit": p6_audit,
         "p7_mix": p7_mix, "p7_shares": p7_shares,
         "p8_found": p8_found, "p8_restored": p8_restored,
@@ -198,4 +220,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_coverage": P2_COVERAGE, "p3_found": P3_FOUND, "p3_elements": P3_ELEMENTS, "p3_pages": P3_PAGES, "p5_found": P5_FOUND, "p6_audit": P6_AUDIT}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_coverage": P2_COVERAGE, "p3_found": P3_FOUND, "p3_elements": P3_ELEMENTS, "p3_pages": P3_PAGES, "p3_block_sizes": P3_BLOCK_SIZES, "p5_audit": "select *, true as clean from (" + P5_FOUND + ")", "p5_found": P5_FOUND, "p6_audit": P6_AUDIT}
