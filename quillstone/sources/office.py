@@ -248,3 +248,24 @@ def ocr_needed(pages: DataFrame) -> DataFrame:
     empty = F.length(F.trim(F.coalesce("text", F.lit("")))) == 0
     scan = F.col("image_area") > 0.15 * F.col("page_area")
     return pages.where(empty | F.coalesce(scan, F.lit(False))).select("document_id", "page", F.when(empty, "no text").otherwise("image").alias("reason"))
+
+
+RECOGNISED = "document_id string, page int, ordinal int, text string, bbox array<double>, confidence double"
+
+
+def recognised(requests: DataFrame, backend: Callable[[bytes, dict], list[tuple[str, list[float], float]]]) -> DataFrame:
+    """Text lines of page images (document_id, page, image) by an OCR ``backend(image, request)`` that gives (text, box, confidence) in reading order.
+
+    The backend runs inside Arrow batches, once a page; a null image or one the
+    backend finds nothing on gives no row.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, page, image in zip(pdf["document_id"], pdf["page"], pdf["image"]):
+                lines = [] if image is None else backend(bytes(image), {"document_id": doc, "page": int(page)})
+                rows += [(doc, int(page), n, text, [float(x) for x in box], float(sure)) for n, (text, box, sure) in enumerate(lines)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECOGNISED.split(", ")])
+
+    return requests.select("document_id", "page", "image").mapInPandas(work, RECOGNISED)

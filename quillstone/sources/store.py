@@ -100,6 +100,13 @@ def export_trace(trace: DataFrame, path: str) -> None:
     trace.write.mode("overwrite").option("header", True).csv(path)
 
 
+def dump_pages(pages: DataFrame, path: str, document: str = "document_id", page: str = "page") -> None:
+    """Parsed pages as indented JSON, one array a document in a folder of its own; a page's columns in their order."""
+    rows = F.transform(F.sort_array(F.collect_list(F.struct(F.col(page).alias("at__"), F.struct(*(c for c in pages.columns if c != document)).alias("row")))), lambda x: x["row"])
+    made = pages.groupBy(document).agg(rows.alias("rows")).select(document, F.to_json("rows", {"pretty": "true"}).alias("value"))
+    made.write.mode("overwrite").partitionBy(document).text(path)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(file, size, sha256) of all files below a folder, hidden ones and markers aside."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

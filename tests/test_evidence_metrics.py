@@ -117,6 +117,17 @@ def test_year_table_with_nil(spark):
     assert {(r.label, r.year): r.value for r in got} == {(n, y): v for n, a, b in body[:3] for y, v in (("2022", a), ("2021", b))}
 
 
+def test_four_known_rows(spark):
+    """Rows of a balance sheet, with currency signs apart from their figures, in jittered lines."""
+    known = {"Inventories": ("2,388", "3,055"), "Prepaid expenses and other": ("8,358", "6,906"), "Total current assets": ("37,857", "36,728"), "Total current liabilities": ("50,171", "47,160")}
+    rows = [("d", 300.0, 100.0, 322.0, 110.0, "2022"), ("d", 400.0, 100.009, 422.0, 110.0, "2021")]
+    for i, (label, (a, b)) in enumerate(known.items(), 1):
+        y = 100.0 + 14 * i
+        rows += [("d", 20.0, y, 180.0, y + 10, label), ("d", 280.0, y + 0.009, 285.0, y + 10, "$"), ("d", 292.0, y, 322.0, y + 10, a), ("d", 392.0, y, 422.0, y + 10.009, b)]
+    got = T.year_tables(spark.createDataFrame(rows, "document_id string, x0 double, y0 double, x1 double, y1 double, text string"), ["document_id"]).collect()
+    assert {(r.label, r.year): r.value for r in got} == {(n, y): v for n, (a, b) in known.items() for y, v in (("2022", "$" + a), ("2021", b))}
+
+
 def test_heading_paths(spark):
     rows = [("d", 1, 1, "A"), ("d", 2, None, "p"), ("d", 3, 2, "B"), ("d", 4, None, "p"), ("d", 5, 1, "C"), ("d", 6, None, "p")]
     got = T.heading_paths(spark.createDataFrame(rows, "document_id string, ordinal int, level int, text string")).orderBy("ordinal").collect()

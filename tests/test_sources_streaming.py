@@ -131,6 +131,16 @@ def test_bundle(spark, tmp_path):
     assert [r.i for r in store.read_array(spark, str(tmp_path / "a.json"), "i int").collect()] == [1, 2]
 
 
+def test_dump_and_ocr(spark, tmp_path):
+    pages = spark.createDataFrame([("d", 2, "b"), ("d", 1, "a"), ("e", 1, None)], "document_id string, page int, text string")
+    store.dump_pages(pages, str(tmp_path / "dump"))
+    got = json.loads(next((tmp_path / "dump/document_id=d").glob("part-*")).read_text())
+    assert got == [{"page": 1, "text": "a"}, {"page": 2, "text": "b"}]
+    requests = spark.createDataFrame([("d", 1, bytearray(b"one two")), ("d", 2, None), ("d", 3, bytearray(b""))], "document_id string, page int, image binary")
+    read = lambda image, request: [(w, [0, n, 9, n + 1], 0.5) for n, w in enumerate(image.decode().split())]
+    assert [(r.page, r.ordinal, r.text, r.bbox[1]) for r in office.recognised(requests, read).orderBy("ordinal").collect()] == [(1, 0, "one", 0.0), (1, 1, "two", 1.0)]
+
+
 EVENTS = [("r", 1, "progress", None), ("r", 2, "answer_delta", "wrong"), ("r", 3, "answer_reset", None), ("r", 5, "answer_delta", "lo"), ("r", 4, "answer_delta", "hel"), ("r", 4, "answer_delta", "hel"), ("r", 6, "done", None), ("s", 1, "answer_delta", "x")]
 
 
