@@ -139,3 +139,13 @@ def test_spans_and_boxes(spark):
     assert {r.cell_id: (r.row_span, r.col_span) for r in T.grid_spans(b).collect()} == {"m": (1, 2), "a": (1, 1), "b": (1, 1)}
     assert T.bbox_union(spark.createDataFrame([Row(k=1, bbox=[1.0, 2.0, 3.0, 4.0]), Row(k=1, bbox=[0.0, 3.0, 2.0, 9.0])]), ["k"]).first().bbox == [0.0, 2.0, 3.0, 9.0]
     assert T.a1_slice("B2:D9", 2, 3) == "B3:D4" and T.column_letters(28) == "AB"
+
+
+def test_evidence_usage_searches_once(spark, monkeypatch):
+    from quillstone.operators import retrieval as R
+    from quillstone.plans import retrieval_queries as P
+
+    calls = []
+    for name in ("dense_topk", "bm25_topk"):
+        monkeypatch.setattr(R, name, lambda *a, f=getattr(R, name), **kw: (calls.append(1), f(*a, **kw))[1])
+    assert P.evidence_usage(spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 2

@@ -124,3 +124,64 @@ def test_mmr(spark, w, k, t, want):
 def test_limits(a):
     with pytest.raises(ValueError):
         R.check_limits(*a)
+
+
+def shuffled_rows(spark):
+    """Rows written to shuffles so far."""
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    none = sc._gateway.new_array(jvm.double, 0)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_bm25_shuffles_no_pairs(spark):
+    c = chunks(spark, [(f"c{i:03d}", "revenue " * (1 + i % 7) + f"x{i % 5}", [1.0]) for i in range(400)])
+    q = questions(spark, [(f"q{i:03d}", f"revenue x{i % 6} y{i}", [1.0]) for i in range(400)])
+    want = {tuple(r) for r in R.ranked(R.bm25_scores(q, c), [F.desc("score"), F.asc("chunk_id")], 3).select("query_id", "chunk_id", "score", "rank").collect()}
+    before = shuffled_rows(spark)
+    got = R.bm25_topk(q, c, 3).select("query_id", "chunk_id", "score", "rank").collect()
+    assert {tuple(r) for r in got} == want and len(got) == 1200
+    # of 160,000 pairs: 3 rows a query and task, and linear tables beside them
+    assert shuffled_rows(spark) - before < 3 * 400 * 16 + 5_000
+
+
+def test_bm25_exclusion_and_ties_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    c = chunks(spark, [(f"c{i:02d}", "revenue cash" if i % 2 else "revenue", [1.0]) for i in range(40)]).repartition(5)
+    q = questions(spark, [(f"q{i}", ["Cash, revenue", "revenue cash", "revenue", "none", ""][i % 5], [1.0]) for i in range(20)])
+    gone = spark.createDataFrame([("q0", f"c{i:02d}") for i in range(1, 40, 2)] + [("q2", "c00")], "query_id string, chunk_id string")
+    scores = R.bm25_scores(q, c).join(gone, ["query_id", "chunk_id"], "left_anti")
+    want = {tuple(r) for r in R.ranked(scores, [F.desc("score"), F.asc("chunk_id")], 4).select("query_id", "chunk_id", "score", "rank").collect()}
+    assert {tuple(r) for r in R.bm25_topk(q, c, 4, exclude=gone).select("query_id", "chunk_id", "score", "rank").collect()} == want
+
+
+def test_best_is_exact_when_single_precision_is_not():
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(5, 16))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    v = np.repeat(m, 60, axis=0) + rng.normal(size=(300, 16)) * 1e-4
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = np.array([f"{i:03d}" for i in rng.permutation(300)], object)
+    best = R._Best(5, 7)
+    for at in range(0, 300, 50):
+        i, j = best.offered(m.astype("f4") @ v[at : at + 50].T.astype("f4"), 2.4e-7 * 20 + 1e-6)
+        best.add(i, np.round(np.einsum("ij,ij->i", m[i], v[at + j]), 6), ids[at + j])
+    i, _, c = best.rows()
+    exact = np.round(m @ v.T, 6)
+    for n in range(5):
+        assert list(c[i == n]) == list(ids[np.lexsort((ids.astype(str), -exact[n]))[:7]])
+
+
+def test_pools_search_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    c = chunks(spark, [(f"c{i:02d}", " ".join(rng.choice(["a", "b", "c", "d"], 6)), rng.normal(size=4).tolist()) for i in range(40)])
+    q = questions(spark, [(f"q{i}", "a b", rng.normal(size=4).tolist()) for i in range(4)])
+    cols = ["query_id", "chunk_id", "fused_rank", "rerank_score", "rank"]
+    want = {n: sorted(map(tuple, R.Retriever(c, candidate_k=n).stages(q)["reranked"].select(*cols).collect())) for n in (5, 12)}
+    calls = []
+    searches = {name: getattr(R, name) for name in ("dense_topk", "bm25_topk")}
+    for name, f in searches.items():
+        monkeypatch.setattr(R, name, lambda *a, f=f, **kw: (calls.append(1), f(*a, **kw))[1])
+    got = R.Retriever(c, candidate_k=12).pools(q, (5, 12))
+    assert {n: sorted(map(tuple, r.select(*cols).collect())) for n, r in got.items()} == want and len(calls) == 2
