@@ -112,3 +112,15 @@ def test_reading_order_and_page_elements(spark):
     assert [(r.kind, r.text) for r in got] == [("paragraph", "left"), ("paragraph", "right"), ("table", None), ("paragraph", "below")]
     e = lines.select("document_id", "page", F.array("x0", "y0").alias("bbox"), F.col("y0").alias("ordinal"), "text").unionByName(lines.limit(1).select("document_id", "page", F.lit(None).cast("array<double>").alias("bbox"), F.lit(-1.0).alias("ordinal"), F.lit("no box").alias("text")))
     assert [r.text for r in C.reading_order(e).orderBy("reading_no").collect()] == ["left", "right", "in the table", "below", " ", "no box"]
+
+
+def test_chunkings_shuffle_no_pairs(spark):
+    from test_retrieval import shuffled_rows
+
+    c = spark.createDataFrame([(f"c{i:03d}", "d", i, 2, f"revenue x{i}") for i in range(400)], "chunk_id string, document_id string, page int, n_words int, text string")
+    q = spark.createDataFrame([(f"q{i:03d}", f"revenue x{i}") for i in range(400)], "query_id string, question string")
+    gold = q.select("query_id", F.lit("d").alias("document_id"), F.substring("query_id", 2, 3).cast("int").alias("page"))
+    before = shuffled_rows(spark)
+    r = G.score_chunkings({"a": c}, q, gold).collect()[0]
+    assert (r.n_chunks, r.n_words, r.questions, r.hits, r.mrr) == (400, 800, 400, 400, 1.0)
+    assert shuffled_rows(spark) - before < 40_000  # of 160,000 pairs
