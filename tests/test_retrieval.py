@@ -186,3 +186,26 @@ def test_pools_search_once(spark, monkeypatch):
         monkeypatch.setattr(R, name, lambda *a, f=f, **kw: (calls.append(1), f(*a, **kw))[1])
     got = R.Retriever(c, candidate_k=12).pools(q, (5, 12))
     assert {n: sorted(map(tuple, r.select(*cols).collect())) for n, r in got.items()} == want and len(calls) == 2
+
+
+def test_fusion_shuffles_once(spark):
+    rank = "query_id string, chunk_id string, rank int"
+    d, b = (spark.createDataFrame([(f"q{i % 3}", f"c{i}", 1 + i // 3) for i in range(at, at + 30)], rank) for at in (0, 15))
+    out = R.rrf(d, b, top_k=7)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, []).append(r["rank"])
+    assert all(sorted(x) == list(range(1, 8)) for x in got.values()) and len(got) == 3
+
+
+def test_corpus_shuffles_no_json(spark, tmp_path):
+    from quillstone.plans.common import corpus
+
+    row = lambda i: (f"c{i}", i, "d", 1, 2, '{"title": "t%d", "text": "x%d", "context_refs": ["r"]}' % (i, i), [1.0])
+    chunks = spark.createDataFrame([row(i) for i in (0, 1, 1, 2)], "chunk_id string, position_no long, document_id string, page int, token_count int, chunk_json string, embedding array<float>")
+    chunks.write.parquet(f"{tmp_path}/chunks.parquet")
+    c = corpus(spark, str(tmp_path))
+    assert ids(c.orderBy("chunk_id"), "chunk_id", "title", "text") == [(f"c{i}", f"t{i}", f"x{i}") for i in range(3)]
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert "chunk_json" in plan and "chunk_json" not in next(line for line in plan.splitlines() if "Aggregate" in line)
