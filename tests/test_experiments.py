@@ -124,3 +124,15 @@ def test_chunkings_shuffle_no_pairs(spark):
     r = G.score_chunkings({"a": c}, q, gold).collect()[0]
     assert (r.n_chunks, r.n_words, r.questions, r.hits, r.mrr) == (400, 800, 400, 400, 1.0)
     assert shuffled_rows(spark) - before < 40_000  # of 160,000 pairs
+
+
+def test_selection_grid_writes_no_reranked_list(spark, data, monkeypatch):
+    from quillstone.operators import retrieval as R
+    from quillstone.plans import grid_queries
+    from quillstone.session import materialize
+
+    written = []
+    for where in (grid_queries, R):
+        monkeypatch.setattr(where, "materialize", lambda df, name: (written.append(name), materialize(df, name))[1])
+    assert {r.config for r in grid_queries.selection_grid(spark, data).collect()} == {"top7", "t=0.1", "t=0.3", "t=0.5"}
+    assert "dense" in written and "reranked" not in written
