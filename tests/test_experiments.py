@@ -136,3 +136,11 @@ def test_selection_grid_writes_no_reranked_list(spark, data, monkeypatch):
         monkeypatch.setattr(where, "materialize", lambda df, name: (written.append(name), materialize(df, name))[1])
     assert {r.config for r in grid_queries.selection_grid(spark, data).collect()} == {"top7", "t=0.1", "t=0.3", "t=0.5"}
     assert "dense" in written and "reranked" not in written
+
+
+@pytest.mark.parametrize("name", ["adaptive_query_grid", "batch_query_grid", "citation_check", "context_assembly"])
+def test_searches_are_written_once(spark, data, name):
+    """What follows the searches reads their written lists, so none is made again and their shuffles are gone."""
+    import __spark_entry__
+
+    assert "MapIn" not in __spark_entry__.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()

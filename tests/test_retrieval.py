@@ -209,3 +209,19 @@ def test_corpus_shuffles_no_json(spark, tmp_path):
     assert ids(c.orderBy("chunk_id"), "chunk_id", "title", "text") == [(f"c{i}", f"t{i}", f"x{i}") for i in range(3)]
     plan = c._jdf.queryExecution().optimizedPlan().toString()
     assert "chunk_json" in plan and "chunk_json" not in next(line for line in plan.splitlines() if "Aggregate" in line)
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    import time
+
+    from quillstone.session import FREE_SHUFFLES, materialize
+
+    held = lambda: {f.getName() for f in list_of(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    list_of = lambda x: [x.apply(i) for i in range(x.size())]
+    before, was = held(), spark.conf.get(FREE_SHUFFLES, "false")
+    df = materialize(spark.range(10_000).repartition(3, "id").groupBy(F.col("id") % 7).count(), "counts")
+    for _ in range(20):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before and df.count() == 7 and spark.conf.get(FREE_SHUFFLES, "false") == was
