@@ -9,10 +9,10 @@ gained are summed over a document's passages per chain, so one short garbled
 word needs support and a whole garbled report has it.
 
 Nothing is known of any language beforehand: dictionaries, pairs of adjacent
-characters and letters all come from a sample of labelled documents.  A passage
+characters and letters all come from the labelled documents, every one of them.  A passage
 whose adjacent characters are all known pairs has nothing to gain and is not
 compressed at all, and a candidate counts only if it has fewer unknown pairs than
-the passage and brings in no letter that the sample's languages don't write
+the passage and brings in no letter that the documents' languages don't write
 (``Restorer(prune=False)`` compresses every candidate).
 
 A passage is restored wholly or not at all: where a chain wins but leaves
@@ -31,19 +31,20 @@ from functools import lru_cache
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS = 300  #: most documents per language the dictionaries are trained on
-SAMPLE_LANGS = 64  #: most languages
-SAMPLE_CHARS = 8_000  #: longest document of that sample
+from quillstone.session import materialize
+
+GROUP_DOCS = 2_000  #: documents of a language that one task trains a dictionary on
+GROUP_DICTS = 64  #: dictionaries that one task makes one of
 DICT_BYTES = 32_768  #: size of a dictionary
 STEP_COST = 1.0  #: bytes a step of a chain costs: the index of one of about 250 steps
 SWITCH_COST = 3.0  #: bytes it costs to name another chain for one passage: its place and the chain
-PAIR_COST = 2.0  #: bytes an adjacent pair costs that no clean sample document holds, as an escape symbol would
-RARE = 0.03  #: a sample document with a non-ASCII letter found in fewer of its language's documents isn't trained on
-LARGE = 150  #: different letters of one script in a language's sample from which its rare letters are no hint
-MAIN = 0.2  #: share of a language's sample documents that hold letters of a script it is written in
+PAIR_COST = 2.0  #: bytes an adjacent pair costs that no two clean labelled documents hold, as an escape symbol would
+RARE = 0.03  #: a labelled document with a non-ASCII letter found in fewer of its language's documents isn't trained on
+LARGE = 150  #: different letters of one script in a language's documents from which its rare letters are no hint
+MAIN = 0.2  #: share of a language's documents that hold letters of a script it is written in
 LEAST_GAIN = 0.5  #: bytes a document must gain by a chain beyond its cost
 
 # Signs that texts of any language may hold.
@@ -63,9 +64,9 @@ def script(c: str) -> str:
 
 
 class Alphabet:
-    """The characters that texts of the sample's languages may hold.
+    """The characters that texts of the documents' languages may hold.
 
-    ``holds``: signs, letters of clean sample texts, and all letters of scripts
+    ``holds``: signs, letters of clean labelled texts, and all letters of scripts
     other than Latin that a language is written in.  ``may``: also any Latin
     letter of a single-byte encoding.
     """
@@ -401,15 +402,26 @@ class Restorer:
         return "".join(parts), used, total
 
 
-def _train(texts: list[str]) -> bytes:
-    """A dictionary from sample texts; too few for training serve as they are."""
-    samples = [p.encode() for t in texts for p in passages(t)]
+def _train(samples: list[bytes]) -> bytes:
+    """A dictionary from samples; too few for training serve as they are."""
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-DICT_BYTES:]
 
 
+def _trained(texts: list[str]) -> bytes:
+    return _train([p.encode() for t in texts for p in passages(t)])
+
+
+def _merged(dictionaries: list[bytes]) -> bytes:
+    """One dictionary from several, of other documents each: trained on what they hold behind their tables, which end with the first offsets."""
+    if len(dictionaries) == 1:
+        return dictionaries[0]
+    held = [d.rpartition(b"\1\0\0\0\4\0\0\0\10\0\0\0")[2].decode("utf-8", "ignore") for d in dictionaries]
+    return _trained(held)
+
+
 _DOUBTED = ["cp1252", "latin_1", "cp1251", "cp1250", "mac_roman", "gbk"]  # encodings UTF-8 is most often read as
 
 
@@ -433,16 +445,9 @@ def _all_tables() -> list[dict[str, str]]:
     return out
 
 
-def _foreign(text: str, share: Counter) -> bool:
-    """Some pair of single-byte encodings makes of each non-ASCII character of the text one that is found in twice as many of the language's texts."""
-    chars = sorted({c for c in text if not c.isascii()}, key=lambda c: share[c])
-    return bool(chars) and any(all(share[t.get(c, "")] >= 2 * share[c] for c in chars) for t in _all_tables())
-
-
-def _doubtful(text: str, scripts: set[str]) -> bool:
-    """Some run of non-ASCII characters is, byte for byte, UTF-8 of signs and letters of ``scripts``, which no clean text has but by chance; or the text holds C1 controls."""
-    if _CONTROL.search(text):
-        return True
+def _doubts(text: str) -> set[frozenset[str]]:
+    """The scripts of what each run of non-ASCII characters is as UTF-8, byte for byte, signs left out; the empty set where the text holds C1 controls."""
+    out = {frozenset()} if _CONTROL.search(text) else set()
     for run in set(_RUN.findall(text)):
         for enc in _DOUBTED if len(run) > 1 else ():
             try:
@@ -450,58 +455,198 @@ def _doubtful(text: str, scripts: set[str]) -> bool:
                 made = raw.decode("utf-8")
             except (KeyError, UnicodeError):
                 continue
-            if all(c in SIGNS or script(c) in scripts for c in made):
-                return True
-    return False
+            out.add(frozenset(script(c) for c in made if c not in SIGNS))
+    return out
 
 
-def learn(by: dict[str, list[str]]) -> tuple[dict[str, bytes], list[str], str, list[str]]:
-    """From sample texts by language: a dictionary per language, the non-ASCII pairs of at least two clean texts, the letters of clean texts, and the scripts other than Latin that a language is written in.
+def _foreign(count: Counter) -> dict[str, int]:
+    """Per character a bit mask of the pairs of single-byte encodings that make of it one found in twice as many of the language's texts."""
+    out = {}
+    for c, n in count.items():
+        if mask := sum(1 << i for i, t in enumerate(_all_tables()) if count[t.get(c, "")] >= 2 * n):
+            out[c] = mask
+    return out
+
+
+class _Text:
+    """What the passes of ``Learner`` ask of a text."""
+
+    def __init__(self, text: str | None, packed: str | None = None):
+        """From the text, or from ``packed``."""
+        if packed is not None:
+            self.chars, doubts, letters = packed.split("\n")
+            self.doubts = {frozenset(filter(None, x.split("|"))) for x in doubts.split(";")[1:]}
+            self.letters = {x.split(":")[0]: int(x.split(":")[1]) for x in letters.split(";") if x}
+            return
+        runs = "".join(_RUN.findall(text))
+        self.chars = "".join(sorted(set(runs)))
+        self.doubts = _doubts(text) if runs else set()
+        self.letters = Counter(filter(None, map(script, runs)))
+
+    def packed(self) -> str:
+        return "\n".join([self.chars, "".join(";" + "|".join(sorted(x)) for x in sorted(self.doubts, key=sorted)), ";".join(f"{x}:{n}" for x, n in sorted(self.letters.items()))])
 
-    Sample texts may be garbled themselves.  One is clean if none of its runs is
+
+class Learner:
+    """Which labelled texts are clean, told in four passes of counting over all of them.
+
+    Labelled texts may be garbled themselves.  One is clean if none of its runs is
     UTF-8 byte for byte, if no other encoding makes commoner characters of all of
     its own, if it is in its language's script, and all its characters are common
-    in its language.
+    in its language.  ``count`` makes a pass over some texts; ``tell`` takes the
+    sum of a pass's counts.  Counts are (language, what, item), as many as there are
+    different characters and scripts in a language.
     """
-    trained, known, letters, scripts = {}, Counter(), Counter(), set()
-    in_docs = lambda texts: Counter(x for t in texts for x in {script(c) for c in set(t) if not c.isascii()} if x)
-    written = {"LATIN"} | {x for texts in by.values() for x, k in in_docs(texts).items() if k >= max(2, RARE * len(texts))}
-    for lang, texts in sorted(by.items()):
-        sure = [t for t in texts if not _doubtful(t, written)] or texts
-        count = Counter(c for t in sure for c in set(t) if not c.isascii())
-        sure = [t for t in sure if not _foreign(t, count)] or sure
+
+    PASSES = 4
+
+    def __init__(self) -> None:
+        self.done, self.written, self.all_doubtful, self.foreign, self.own, self.rare, self.docs = 0, frozenset(), set(), {}, {}, {}, {}
+
+    def keeps(self, lang: str, x: _Text, tests: int) -> bool:
+        if tests > 0 and lang not in self.all_doubtful and any(d <= self.written for d in x.doubts):
+            return False
+        if tests > 1 and (masks := self.foreign.get(lang)):
+            both = -1 if x.chars else 0
+            for c in x.chars:
+                both &= masks.get(c, 0)
+            if both:
+                return False
         # in a language of another script, texts of mostly Latin letters beyond ASCII are another decoding of its bytes
-        own = {x for x, k in in_docs(sure).items() if x != "LATIN" and k >= MAIN * len(sure)}
-        if own:
-            letters_of = lambda t: [script(c) in own for c in t if not c.isascii() and c.isalpha()]
-            sure = [t for t in sure if 2 * sum(x := letters_of(t)) >= len(x)]
-        count = Counter(c for t in sure for c in set(t) if not c.isascii())
-        sizes = Counter(filter(None, map(script, count)))
-        large = {x for x, n in sizes.items() if n >= LARGE}
-        rare = {c for c, n in count.items() if n < RARE * len(sure) and script(c) not in large and c not in SIGNS}
-        clean = sorted({t for t in sure if not rare.intersection(t)})
-        scripts |= {x for x, n in in_docs(clean).items() if x != "LATIN" and n >= MAIN * len(clean)}
-        if not clean:
-            continue
-        trained[lang] = _train(clean)
-        for t in clean:
-            known.update(p for p in pairs_of(t) if not (p[0].isascii() and p[1].isascii()))
-            letters.update(c for c in set(t) if c.isalpha() and not c.isascii())
+        if tests > 2 and (own := self.own.get(lang)) and 2 * sum(n for s, n in x.letters.items() if s in own) < sum(x.letters.values()):
+            return False
+        return tests < 4 or self.rare.get(lang, frozenset()).isdisjoint(x.chars)
+
+    def count(self, texts: Iterator[tuple[str, _Text]]) -> Counter:
+        out: Counter = Counter()
+        for lang, x in texts:
+            if not self.keeps(lang, x, max(0, self.done - 1)):
+                continue
+            items = x.chars if self.done in (1, 3) else x.letters
+            # a test that no text of a language passes is left out there, so both counts are needed
+            for what in ("all", "kept") if self.done and self.keeps(lang, x, self.done) else ("all",):
+                out[lang, what, ""] += 1
+                for i in items:
+                    out[lang, what, i] += 1
+        return out
+
+    def tell(self, counts: dict[tuple[str, str, str], int]) -> None:
+        of: dict[str, dict[str, Counter]] = {}
+        for (lang, what, item), n in counts.items():
+            of.setdefault(lang, {}).setdefault(what, Counter())[item] += n
+        if self.done == 0:
+            self.written = frozenset({"LATIN"} | {x for c in of.values() for x, n in c["all"].items() if x and n >= max(2, RARE * c["all"][""])})
+        for lang, c in of.items():
+            kept = c.get("kept", Counter())
+            if self.done == 1:
+                if not kept:
+                    self.all_doubtful.add(lang)
+                self.foreign[lang] = _foreign(Counter({x: n for x, n in (kept or c["all"]).items() if x}))
+            elif self.done == 2:
+                if not kept:
+                    self.foreign.pop(lang, None)
+                kept = kept or c["all"]
+                self.own[lang] = frozenset(x for x, n in kept.items() if x and x != "LATIN" and n >= MAIN * kept[""])
+            elif self.done == 3:
+                n_docs = self.docs[lang] = kept.pop("", 0)
+                large = {x for x, n in Counter(filter(None, map(script, kept))).items() if n >= LARGE}
+                self.rare[lang] = frozenset(c for c, n in kept.items() if n < RARE * n_docs and script(c) not in large and c not in SIGNS)
+        self.done += 1
+
+
+def _facts(texts: list[str]) -> Iterator[tuple[str, str, int]]:
+    """(what, item, in how many) of different clean texts: non-ASCII pairs, letters, scripts, and all of them."""
+    pairs, letters, scripts = Counter(), Counter(), Counter()
+    for t in texts:
+        pairs.update(a + b for a, b in pairs_of(t) if not (a.isascii() and b.isascii()))
+        mine = {c for c in set(t) if c.isalpha() and not c.isascii()}
+        letters.update(mine)
+        scripts.update(set(filter(None, map(script, mine))))
+    for what, c in (("pair", pairs), ("letter", letters), ("script", scripts)):
+        for item, n in c.items():
+            yield what, item, n
+    yield "texts", "", len(texts)
+
+
+def _learned(trained: dict[str, bytes], pairs: dict[str, int], letters: dict[str, int], scripts: dict[str, Counter]) -> tuple[dict[str, bytes], list[str], str, list[str]]:
     both = {x for c, n in letters.items() if n > 1 for x in (c, c.upper(), c.lower()) if len(x) == 1}
-    return trained, sorted(a + b for (a, b), n in known.items() if n > 1), "".join(sorted(both)), sorted(scripts)
+    own = {x for c in scripts.values() for x, n in c.items() if x and x != "LATIN" and n >= MAIN * c[""]}
+    return trained, sorted(p for p, n in pairs.items() if n > 1), "".join(sorted(both)), sorted(own)
+
+
+def learn(by: dict[str, list[str]]) -> tuple[dict[str, bytes], list[str], str, list[str]]:
+    """From texts by language: a dictionary per language, the non-ASCII pairs of at least two clean texts, the letters of clean texts, and the scripts other than Latin that a language is written in.  See ``Learner``; ``fit`` does the same on a table."""
+    m = Learner()
+    seen = [(lang, t, _Text(t)) for lang, texts in sorted(by.items()) for t in texts]
+    for _ in range(m.PASSES):
+        m.tell(m.count((lang, x) for lang, _, x in seen))
+    trained, found, scripts = {}, {"pair": Counter(), "letter": Counter()}, {}
+    for lang in by:
+        if clean := sorted({t for at, t, x in seen if at == lang and m.keeps(lang, x, m.PASSES)}):
+            trained[lang] = _trained(clean)
+            for what, item, n in _facts(clean):
+                (found[what] if what in found else scripts.setdefault(lang, Counter()))[item] += n
+    return _learned(trained, found["pair"], found["letter"], scripts)
 
 
 def fit(df: DataFrame, key: str, text: str, lang: str) -> tuple[dict[str, bytes], list[str], str, list[str]]:
-    """``learn`` on at most SAMPLE_DOCS labelled documents of each of the SAMPLE_LANGS largest languages, those of the smallest key hash."""
-    h = F.xxhash64(F.col(key).cast("string"))
-    pool = df.where(F.col(lang).isNotNull() & (F.length(text) <= SAMPLE_CHARS)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), h.alias("h"))
-    langs = [r[0] for r in pool.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGS).collect()]
-    by: dict[str, list[str]] = {}
-    if langs:
-        pick = pool.where(F.col("lang").isin(langs)).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= SAMPLE_DOCS)
-        for r in pick.select("lang", "text").collect():
-            by.setdefault(r["lang"], []).append(r["text"])
-    return learn(by)
+    """``learn`` on all labelled documents of all languages.
+
+    To the driver come counts, of different characters and pairs, and one
+    dictionary a language.  Clean texts are shuffled once, in groups of about
+    ``GROUP_DOCS`` by their hash, so that equal texts meet and count once; a group's
+    dictionary is trained on all of it, and groups' dictionaries are merged, ``GROUP_DICTS``
+    at a time.
+    """
+    src = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"lang": pdf["lang"], "x": ["\n\n" if t.isascii() else _Text(t).packed() for t in pdf["text"]]})
+
+    seen = materialize(src.mapInPandas(pack, "lang string, x string"), "labelled")
+    m = Learner()
+    for _ in range(m.PASSES):
+
+        def count(batches: Iterator[pd.DataFrame], m: Learner = m) -> Iterator[pd.DataFrame]:
+            out: Counter = Counter()
+            for pdf in batches:
+                out.update(m.count((a, _Text(None, x)) for a, x in zip(pdf["lang"], pdf["x"])))
+            yield pd.DataFrame([(*k, n) for k, n in out.items()], columns=["lang", "what", "item", "n"])
+
+        sums = seen.mapInPandas(count, "lang string, what string, item string, n bigint").groupBy("lang", "what", "item").agg(F.sum("n").alias("n"))
+        m.tell({(r[0], r[1], r[2]): r[3] for r in sums.collect()})
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zlib
+
+        for pdf in batches:
+            pdf = pdf[[m.keeps(a, _Text(t), m.PASSES) for a, t in zip(pdf["lang"], pdf["text"])]]
+            groups = [-(-m.docs[a] // GROUP_DOCS) for a in pdf["lang"]]
+            yield pdf.assign(part=[zlib.crc32(t.encode()) % n for t, n in zip(pdf["text"], groups)])
+
+    def facts(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts, a, part = sorted(set(pdf["text"])), pdf["lang"].iloc[0], int(pdf["part"].iloc[0])
+        rows = [(a, part, what, item, n, None) for what, item, n in _facts(texts)]
+        return pd.DataFrame([*rows, (a, part, "dictionary", "", len(texts), _trained(texts))], columns=["lang", "part", "what", "item", "n", "held"])
+
+    schema = "lang string, part bigint, what string, item string, n bigint, held binary"
+    got = materialize(src.mapInPandas(clean, "lang string, text string, part bigint").groupBy("lang", "part").applyInPandas(facts, schema), "learned")
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        return pd.DataFrame([(pdf["lang"].iloc[0], int(pdf["part"].iloc[0]) // GROUP_DICTS, _merged(list(pdf["held"])))], columns=["lang", "part", "held"])
+
+    dictionaries, most = got.where("what = 'dictionary'").select("lang", "part", "held"), max([1, *(-(-n // GROUP_DOCS) for n in m.docs.values())])
+    while most > 1:
+        dictionaries = dictionaries.groupBy("lang", F.floor(F.col("part") / GROUP_DICTS)).applyInPandas(merge, "lang string, part bigint, held binary")
+        most = -(-most // GROUP_DICTS)
+    trained = {r["lang"]: bytes(r["held"]) for r in dictionaries.select("lang", "held").collect()}
+    sums = {what: {r[0]: r[1] for r in got.where(F.col("what") == what).groupBy("item").agg(F.sum("n").alias("n")).where("n > 1").collect()} for what in ("pair", "letter")}
+    scripts: dict[str, Counter] = {}
+    for r in got.where("what in ('script', 'texts')").groupBy("lang", "item").agg(F.sum("n")).collect():
+        scripts.setdefault(r[0], Counter())[r[1]] = r[2]
+    return _learned(trained, sums["pair"], sums["letter"], scripts)
 
 
 def restore(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -411,3 +411,22 @@ def test_restored_texts(spark):
     got = {r.doc_id: (r.restored, r.garbled) for r in encoding.restore(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     wrong = {k for k in want if got[k] != want[k]}
     assert len(wrong) <= 0.05 * 3 * len(SENTENCES) and not any(want[k][0] != rows_[1] and got[k][0] not in (want[k][0], rows_[1]) for k, rows_ in zip(want, rows)), wrong
+
+
+def test_all_labelled_documents_teach(spark):
+    """A 65th language, a language's last documents and long ones count as any."""
+    by = {f"l{i:02d}": [f"the café no. {i} {n}" for n in range(3)] for i in range(70)}
+    by["xx"] = [f"the café {n} é{chr(33 + (n // 2 if n < 180 else 0))}" for n in range(400)] + [f"{n} " + "plain words. " * 900 + f"ö{n % 2}ö" for n in range(60)]
+    rows = [(f"{lang}-{i}", t, lang) for lang, texts in by.items() for i, t in enumerate(texts)]
+    got = encoding.fit(spark.createDataFrame(rows, "key string, text string, lang string").repartition(3), "key", "text", "lang")
+    assert got == encoding.learn(by) and len(got[0]) == 71
+    assert {f"é{chr(33 + n)}" for n in range(90)} | {"ö0", "ö1"} <= set(got[1])
+
+
+def test_merged_dictionaries_hold_every_group():
+    """What only one group's documents say is in the language's dictionary."""
+    groups = [[f"the {a} {w} of quarter {n} was restated. " for n in range(60) for w in ("Umsatzerlöse", "Rückstellungen")] for a in ("first", "second", "third")]
+    texts = [[f"{x}{a}" for x in g] for a, g in zip(("Öffentlichkeitsarbeit", "Grundstücksverkäufe", "Währungsschwankungen"), groups)]
+    one = encoding._merged([encoding._trained(t) for t in texts])
+    assert all(a.encode() in one for a in ("Öffentlichkeitsarbeit", "Grundstücksverkäufe", "Währungsschwankungen")) and len(one) <= encoding.DICT_BYTES
+    assert encoding._merged([one]) == one
