@@ -32,6 +32,7 @@ M = 16  #: projections
 TREE_DIMS = 6  #: of these, the tree's dimensions
 LEAF = 512  #: most rows of a leaf
 BLOCK = 32_768  #: most rows of a block
+TILE = 512  #: queries tested against a leaf at a time, so that their products stay in the cache
 SAMPLE = 65_536  #: bound of the sample the tree's upper levels are fitted on
 HOT = 100  #: a vector whose copies are more than 1/HOT of the rows is hot, so there are fewer than HOT
 SEED = 20_240_607
@@ -201,6 +202,7 @@ def _search(path: str, dim: int, k: int, d2_most: float, p_stop: float, blocks:
         m, td = min(M, dim), min(TREE_DIMS, dim)
         quant, tree_quant = chi2_quantile(p_stop, m), chi2_quantile(p_stop, td)
         box_lo, box_hi = np.frombuffer(los, "f4").reshape(-1, td), np.frombuffer(his, "f4").reshape(-1, td)
+        products, tests = np.empty(TILE * LEAF, "f4"), np.empty(TILE * LEAF, bool)
         for pdf in batches:
             for qb, part, of in zip(pdf["block"], pdf["part"], pdf["of"]):
                 b = store.read(int(qb), ["keys", "isq", "vec", "proj"])
@@ -213,7 +215,7 @@ def _search(path: str, dim: int, k: int, d2_most: float, p_stop: float, blocks:
                 if not len(qv):
                     continue
                 q_half = 0.5 * np.einsum("ij,ij->i", qp, qp)
-                qa = np.concatenate([qp, np.ones((len(qp), 1), "f4")], 1)
+                qa, qt = np.concatenate([qp, np.ones((len(qp), 1), "f4")], 1), np.ascontiguousarray(qp[:, :td].T)
                 best = np.full((len(qv), k), -2.0)
                 best_key = np.zeros((len(qv), k, 2), "i8")
                 d2 = np.full(len(qv), d2_most)
@@ -233,35 +235,46 @@ def _search(path: str, dim: int, k: int, d2_most: float, p_stop: float, blocks:
                     lo, hi = np.frombuffer(o["lo"], "f4").reshape(-1, td), np.frombuffer(o["hi"], "f4").reshape(-1, td)
                     start = np.concatenate([[0], np.cumsum(o["leaves"])])
                     act = np.flatnonzero(alive)
+                    x, limit = qt[:, act], d2[act] * tree_quant
+                    off, dist = np.empty((2, len(act)), "f4")
                     centre = qp[act, :td].mean(0)
                     for leaf in np.argsort((np.maximum(0, np.maximum(lo - centre, centre - hi)) ** 2).sum(1), kind="stable"):
-                        x = qp[act, :td]
-                        dist = (np.maximum(0, np.maximum(lo[leaf] - x, x - hi[leaf])) ** 2).sum(1)
-                        qi = act[dist <= d2[act] * tree_quant]
-                        if not len(qi):
-                            continue
+                        dist[:] = 0
+                        for c in range(td):
+                            np.clip(x[c], lo[leaf, c], hi[leaf, c], out=off)
+                            np.subtract(x[c], off, out=off)
+                            np.multiply(off, off, out=off)
+                            np.add(dist, off, out=dist)
+                        met = act[dist <= limit]
                         s, e = start[leaf], start[leaf + 1]
-                        # projected squared distance <= quantile * d2, as one product
-                        passed = (qa[qi] @ pa[s:e].T) >= (q_half[qi] - 0.5 * quant * d2[qi]).astype("f4")[:, None]
-                        hits = np.flatnonzero(passed)
-                        if not len(hits):
-                            continue
-                        if len(hits) > 0.05 * passed.size:
-                            full = qv[qi] @ v[s:e].T
-                            full[~passed] = -2
-                            keep = np.flatnonzero(full >= best[qi].min(1).astype("f4")[:, None] - 1e-6)
-                        else:
-                            keep = hits
-                        rq, rp = qi[keep // (e - s)], s + keep % (e - s)
-                        cos = np.empty(len(keep))
-                        for c in range(0, len(keep), 65_536):
-                            cos[c : c + 65_536] = np.einsum("ij,ij->i", qv[rq[c : c + 65_536]].astype("f8"), v[rp[c : c + 65_536]].astype("f8"))
-                        kk = key[rp]
-                        good = ((kk != qkey[rq]).any(1)) & (cos >= best[rq].min(1)) & (2 - 2 * cos <= d2_most + 1e-9)
-                        if good.any():
-                            _merge(best, best_key, rq[good], kk[good], cos[good])
-                            u = np.unique(rq[good])
-                            d2[u] = np.minimum(d2_most, 2 - 2 * best[u].min(1))
+                        moved = False
+                        for f in range(0, len(met), TILE):
+                            qi = met[f : f + TILE]
+                            # projected squared distance <= quantile * d2, as one product
+                            product = np.matmul(qa[qi], pa[s:e].T, out=products[: len(qi) * (e - s)].reshape(len(qi), e - s))
+                            passed = np.greater_equal(product, (q_half[qi] - 0.5 * quant * d2[qi]).astype("f4")[:, None], out=tests[: product.size].reshape(product.shape))
+                            hits = np.flatnonzero(passed)
+                            if not len(hits):
+                                continue
+                            if len(hits) > 0.05 * passed.size:
+                                full = qv[qi] @ v[s:e].T
+                                full[~passed] = -2
+                                keep = np.flatnonzero(full >= best[qi].min(1).astype("f4")[:, None] - 1e-6)
+                            else:
+                                keep = hits
+                            rq, rp = qi[keep // (e - s)], s + keep % (e - s)
+                            cos = np.empty(len(keep))
+                            for c in range(0, len(keep), 65_536):
+                                cos[c : c + 65_536] = np.einsum("ij,ij->i", qv[rq[c : c + 65_536]].astype("f8"), v[rp[c : c + 65_536]].astype("f8"))
+                            kk = key[rp]
+                            good = ((kk != qkey[rq]).any(1)) & (cos >= best[rq].min(1)) & (2 - 2 * cos <= d2_most + 1e-9)
+                            if good.any():
+                                _merge(best, best_key, rq[good], kk[good], cos[good])
+                                u = np.unique(rq[good])
+                                d2[u] = np.minimum(d2_most, 2 - 2 * best[u].min(1))
+                                moved = True
+                        if moved:
+                            limit = d2[act] * tree_quant
                 got = np.argwhere(best > -1.5)
                 if len(got):
                     r, c = got[:, 0], got[:, 1]

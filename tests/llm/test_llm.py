@@ -33,6 +33,30 @@ def brute(rows, k, least=-2.0):
     return out
 
 
+def test_search_holds_one_tile_of_products(tmp_path, monkeypatch):
+    """However many queries meet a leaf, their products with it take the room of one tile."""
+    import tracemalloc
+
+    import pandas as pd
+    import pyspark
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: type("One", (), {"partitionId": lambda self: 0})())
+    n, dim = 16_000, 64
+    v = np.random.default_rng(3).normal(size=(n, dim)) + 30  # in one place, so that most queries meet most leaves
+    v[1] = v[0] + 1e-3
+    rows = pd.DataFrame({"vec": list(v.astype("f4")), "isq": 1, "h1": np.arange(n), "h2": 0})
+    block = next(neighbours._pack([], dim)(iter([rows])))
+    (tmp_path / "block=0").mkdir()
+    block.drop(columns="block").to_parquet(tmp_path / "block=0" / "0.parquet")
+    search = neighbours._search(str(tmp_path), dim, 3, 2e-4, 0.99, [0], block["block_lo"][0], block["block_hi"][0])
+    tracemalloc.start()
+    found = pd.concat(search(iter([pd.DataFrame({"block": [0], "part": [0], "of": [1]})])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(0, 1), (1, 0)} == set(zip(found["h1"], found["nh1"]))
+    assert peak < 36e6  # a leaf's products with all queries are 33 MB, the vectors 4 MB
+
+
 def test_chi2():
     assert neighbours.chi2_quantile(0.99, 8) == pytest.approx(20.09, abs=0.01)
     assert neighbours.chi2_quantile(0.9, 16) == pytest.approx(23.54, abs=0.01)
