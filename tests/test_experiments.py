@@ -144,3 +144,20 @@ def test_searches_are_written_once(spark, data, name):
     import __spark_entry__
 
     assert "MapIn" not in __spark_entry__.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunkings_are_written_once(spark, monkeypatch):
+    """A way of cutting is written with its tokens; neither its texts nor the tokens apart are written."""
+    from quillstone.operators import retrieval as R
+
+    written = []
+    for module in (G, R):
+        real = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, name, real=real: written.append((name, df.columns)) or real(df, name))
+    pages = spark.createDataFrame([("d", 1, "a b c d"), ("d", 2, "c c e")], "document_id string, page int, text string")
+    q = spark.createDataFrame([("q", "e")], "query_id string, question string")
+    gold = spark.createDataFrame([("q", "d", 2)], "query_id string, document_id string, page int")
+    r = G.score_chunkings(G.window_chunkings(pages, [(2, 0), (2, 1)]), q, gold).collect()
+    assert {(x.config, x.n_chunks, x.n_words, x.questions, x.hits, x.mrr) for x in r} == {("2/0", 4, 7, 1, 1, 1.0), ("2/1", 5, 10, 1, 1, 1.0)}
+    assert sorted(n for n, _ in written) == ["asked", "asked", "chunking", "chunking"]
+    assert not any("text" in c for _, c in written)
